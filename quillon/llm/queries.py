@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, packing
+from quillon.llm import bpe, packing, simhash, substrings
 
-QUERIES = bpe.QUERIES | packing.QUERIES
+QUERIES = bpe.QUERIES | packing.QUERIES | simhash.QUERIES | substrings.QUERIES
 ORACLES: dict[str, str] = {}
