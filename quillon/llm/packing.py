@@ -29,7 +29,8 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Pieces of one length are ranked in so many shares, so that a length that many have isn't ranked by one task.
 SHARES = 64
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
+TOGETHER = 16_384
 
 LOWER = "a-zß-öø-ÿ"
 SIMPLE = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -55,12 +56,18 @@ class WordIds:
         if len(self.memo) + len(words) > MEMO_WORDS:
             self.memo.clear()
         new = [w for w in words if w not in self.memo]
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = np.array(coded.ids, "<u4").tobytes()
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # one word id for each piece
+            raw, owner = np.array(coded.ids, "<u4").tobytes(), np.array(coded.word_ids)
+            edges = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(raw)]
+            if len(edges) != len(part) + 1:
+                raise ValueError("the pieces of this tokenizer can't be merged side by side")
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [PIECES(t.lower()) if SIMPLE(t) and "<|" not in t else None for t in texts]
-        self.learn({w for words in split if words for w in words})
+        self.learn(set().union(*(words for words in split if words)))
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split)]
 
