@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, packing, secrets, simhash, substrings
+from quillon.llm import bpe, packing, pii, secrets, simhash, substrings
 
-QUERIES = bpe.QUERIES | packing.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
+QUERIES = bpe.QUERIES | packing.QUERIES | pii.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
 ORACLES: dict[str, str] = {}
