@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +27,6 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's links as stars: no more links than nodes, and the same components."""
-    for batch in batches:
-        if batch.num_rows:
-            node, root = forest(batch.column("u").to_numpy(), batch.column("v").to_numpy())
-            far = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["u", "v"])
-
-
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v: long, not null); root is the least node of its component.
 
@@ -47,7 +35,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     A node with very many links is met in aggregates that combine before the shuffle and in joins that can be split.
     """
     ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = scratch.keep(ordered.mapInArrow(contract, "u long, v long").distinct())
+    edges = scratch.keep(ordered.distinct())
     seen = None
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

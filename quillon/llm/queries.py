@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, language, packing, pii, secrets, simhash, substrings
+from quillon.llm import bpe, chat, language, packing, pii, secrets, simhash, substrings
 
-QUERIES = bpe.QUERIES | language.QUERIES | packing.QUERIES | pii.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
-ORACLES: dict[str, str] = {}
+QUERIES = bpe.QUERIES | chat.QUERIES | language.QUERIES | packing.QUERIES | pii.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
+ORACLES: dict[str, str] = chat.ORACLES
