@@ -1,20 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and, but for the last, returns rows with the columns of ``documents``.
+Rows without a doc_id stay in the near-duplicate and substring stages, since nothing can name them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing
+from quillon.llm import language, packing, pii, simhash, substrings
 from quillon.llm.common import Scratch, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without letters and those that no language fits."""
+    return language.keep_known(docs, language.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays, once."""
+    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    kept = Scratch(spark, "near").keep(found)
+    left = docs.join(kept.distinct(), "doc_id", "left_semi")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id"])
+    return left.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document, or the same one earlier, holds are cut."""
+    return substrings.remove_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind, as in [EMAIL]."""
+    return pii.mask(docs, pii.train(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into training sequences."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("PII", personal_data),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 

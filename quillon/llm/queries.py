@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, chat, language, lattice, packing, pii, secrets, simhash, substrings
+from quillon.llm import bpe, chat, language, lattice, multiindex, packing, pii, secrets, simhash, substrings
 
-QUERIES = bpe.QUERIES | chat.QUERIES | language.QUERIES | lattice.QUERIES | packing.QUERIES | pii.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
+QUERIES = bpe.QUERIES | chat.QUERIES | language.QUERIES | lattice.QUERIES | multiindex.QUERIES | packing.QUERIES | pii.QUERIES | secrets.QUERIES | simhash.QUERIES | substrings.QUERIES
 ORACLES: dict[str, str] = chat.ORACLES
