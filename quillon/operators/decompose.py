@@ -112,7 +112,7 @@ def pca(ds: Dataset, k: int = 50, center: bool = True, scale: bool = False, max_
     scores = ds.cells.select("cell_id").join(cells.mapInArrow(project, "cell_id long, v array<double>"), "cell_id", "left")
     scores = scores.select("cell_id", F.coalesce("v", F.array(*[F.lit(float(e)) for e in empty])).alias("v"))
     loadings = spark.createDataFrame([(g, [float(a) for a in row]) for g, row in zip(genes, vectors)], "gene_id long, loading array<double>")
-    variance = spark.createDataFrame([(i, float(v) / max(n - 1, 1), float(v) / whole) for i, v in enumerate(values)], "component int, variance double, ratio double")
+    variance = spark.createDataFrame([(i, float(v) / max(n - 1, 1), float(v / whole)) for i, v in enumerate(values)], "component int, variance double, ratio double")
     return scores, loadings, variance
 
 

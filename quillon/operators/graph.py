@@ -153,7 +153,7 @@ def smooth_weights(knn: DataFrame, k: int = 15, rounds: int = 64) -> DataFrame:
     """
     lists = knn.groupBy("src").agg(F.array_sort(F.collect_list("dist")).alias("ds"))
     target = float(np.log2(k))
-    rho = F.coalesce(F.element_at(F.filter("ds", lambda d: d > 0), 1), F.lit(0.0))
+    rho = F.coalesce(F.try_element_at(F.filter("ds", lambda d: d > 0), F.lit(1)), F.lit(0.0))
     lists = lists.withColumn("rho", rho)
     total = lambda s: F.aggregate("ds", F.lit(0.0), lambda a, d: a + F.when(d > F.col("rho"), F.exp(-(d - F.col("rho")) / s)).otherwise(1.0))
     state = F.struct(F.lit(0.0).alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("mid"))

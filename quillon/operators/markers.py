@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.frames import Dataset
 from quillon.functions.checks import nearest
@@ -41,9 +42,13 @@ def against_rest(ds: Dataset, by: str = "cluster", groups: list[str] | None = No
     return adjusted.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("t", 9)), "gene_id")))
 
 
-@F.pandas_udf("double")
-def student(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_two_sided(a, b) if pd.notna(a) and pd.notna(b) else 1.0 for a, b in zip(t, df)])
+def student(t: str, df: str) -> Column:
+    """Two-sided p of Student's t: one value a tested gene, no built-in function has it."""
+
+    def two_sided(ts: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([student_two_sided(a, b) if pd.notna(a) and pd.notna(b) else 1.0 for a, b in zip(ts, dfs)])
+
+    return F.pandas_udf(two_sided, T.DoubleType())(t, df)
 
 
 def welch(stats: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
