@@ -160,33 +160,46 @@ def communities(edges: DataFrame, cells: DataFrame, steps: Steps, gamma: float =
     return packed.groupBy("one").applyInPandas(run, "cell_id long, label long")
 
 
-def louvain_rounds(edges: DataFrame, cells: DataFrame, steps: Steps, gamma: float = 1.0, rounds: int = 12) -> DataFrame:
-    """Every node moves at once to the neighbouring community of largest gain; odd rounds let only moves to smaller labels pass,
-    even ones only to larger, so that pairs don't swap for ever."""
-    degree = steps.keep(edges.groupBy("src").agg(F.sum("w").alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
+def louvain_rounds(edges: DataFrame, cells: DataFrame, steps: Steps, gamma: float = 1.0, rounds: int = 12, levels: int = 8) -> DataFrame:
+    """Louvain as joins: rounds of moves, then communities become the nodes of a smaller graph, until nothing changes."""
     label = cells.select("cell_id", F.col("cell_id").alias("label"))
-    idle = 0
+    graph, nodes = edges.select("src", "dst", "w"), cells.select(F.col("cell_id").alias("node"))
+    for _ in range(levels):
+        moved, changed = move_rounds(graph, nodes, steps, gamma, rounds)
+        if not changed:
+            break
+        label = steps.keep(label.join(moved, F.col("label") == F.col("node")).select("cell_id", F.col("to").alias("label")))
+        a, b = (moved.select(F.col("node").alias(k), F.col("to").alias(f"{k}_to")) for k in ("src", "dst"))
+        graph = steps.keep(graph.join(a, "src").join(b, "dst").groupBy(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).agg(F.sum("w").alias("w")))
+        nodes = label.select(F.col("label").alias("node")).distinct()
+    ranked = label.groupBy("label").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # one row a community
+    return label.join(ranked, "label").select("cell_id", F.col("rank").cast("long").alias("label"))
+
+
+def move_rounds(edges: DataFrame, nodes: DataFrame, steps: Steps, gamma: float, rounds: int) -> tuple[DataFrame, bool]:
+    """(node, to), and whether any node moved. All nodes move at once to the neighbouring community of largest gain; odd rounds let only
+    moves to smaller labels pass, even ones only to larger, so that pairs don't swap for ever."""
+    degree = steps.keep(nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "node", "left").fillna(0.0))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    apart = edges.where("src <> dst")
+    label, moved, idle = degree.select("node", "k", F.col("node").alias("to")), False, 0
     for turn in range(rounds):
-        named = label.join(degree, F.col("cell_id") == F.col("src"), "left").select("cell_id", "label", F.coalesce("k", F.lit(0.0)).alias("k"))
-        sizes = named.groupBy("label").agg(F.sum("k").alias("kc"))
-        toward = edges.join(label.select(F.col("cell_id").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("w"))
-        options = toward.join(sizes.select(F.col("label").alias("to"), "kc"), "to").join(named.select(F.col("cell_id").alias("src"), "label", "k"), "src")
-        inside = F.when(F.col("to") == F.col("label"), F.col("kc") - F.col("k")).otherwise(F.col("kc"))
+        sizes = label.groupBy("to").agg(F.sum("k").alias("kc"))
+        toward = apart.join(label.select(F.col("node").alias("dst"), "to"), "dst").groupBy(F.col("src").alias("node"), F.col("to").alias("c")).agg(F.sum("w").alias("w"))
+        stay = label.select("node", F.col("to").alias("c"), F.lit(0.0).alias("w"))  # its own community is an option without an edge into it too
+        options = toward.union(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(sizes.withColumnRenamed("to", "c"), "c").join(label, "node")
+        inside = F.when(F.col("c") == F.col("to"), F.col("kc") - F.col("k")).otherwise(F.col("kc"))
         gains = options.withColumn("gain", F.col("w") - gamma * F.col("k") * inside / total)
-        best = gains.groupBy("src").agg(F.max(F.struct(F.col("gain").alias("gain"), (-F.col("to")).alias("n"))).alias("b"), F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("stay"), F.first("k").alias("k"))
-        alone = F.coalesce("stay", F.lit(-1e300))
-        to = -F.col("b.n")
-        moved = label.join(best, F.col("cell_id") == F.col("src"), "left")
-        way = to < F.col("label") if turn % 2 == 0 else to > F.col("label")
-        new = steps.keep(moved.select("cell_id", F.when(F.col("src").isNotNull() & (F.col("b.gain") > alone + 1e-12) & (F.col("b.gain") > 0) & way, to).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
-        changed = new.where("label <> was").count()
-        label = new.select("cell_id", "label")
-        idle = idle + 1 if changed == 0 else 0
+        way = F.col("c") < F.col("to") if turn % 2 == 0 else F.col("c") > F.col("to")
+        allowed = gains.where(way | (F.col("c") == F.col("to")))
+        best = allowed.groupBy("node").agg(F.max(F.struct(F.round("gain", 12).alias("gain"), (F.col("c") == F.col("to")).alias("home"), (-F.col("c")).alias("n"))).alias("b"))
+        new = steps.keep(label.join(best, "node", "left").select("node", "k", F.coalesce(-F.col("b.n"), F.col("to")).alias("to"), F.col("to").alias("was")))
+        changed = new.where("to <> was").limit(1).count()
+        label, moved = new.select("node", "k", "to"), moved or bool(changed)
+        idle = 0 if changed else idle + 1
         if idle == 2:
             break
-    ranked = label.groupBy("label").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # one row a community
-    return label.join(ranked, "label").select("cell_id", F.col("rank").cast("long").alias("label"))
+    return label.select("node", "to"), moved
 
 
 def subcluster(edges: DataFrame, labels: DataFrame, which: str, steps: Steps, gamma: float = 1.0, seed: int = 0) -> DataFrame:

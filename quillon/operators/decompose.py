@@ -70,6 +70,8 @@ def pca(ds: Dataset, k: int = 50, center: bool = True, scale: bool = False, max_
     Centring and scaling enter as corrections of the sparse product; only clipping needs values shifted before they are multiplied.
     """
     genes = [r[0] for r in ds.genes.select("gene_id").orderBy("gene_id").collect()]
+    if not genes:
+        raise ValueError("no genes are left to find components of")
     index, m, n = {g: i for i, g in enumerate(genes)}, len(genes), n_rows(ds.cells)
     moments = {r.gene_id: (r["mean"], r["var"]) for r in gene_moments(ds).select("gene_id", "mean", "var").collect()}
     mean, var = (np.array([moments[g][i] for g in genes]) for i in (0, 1))

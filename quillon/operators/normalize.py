@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from quillon.frames import Dataset
 from quillon.functions.numeric import log1p
 
-CELL = Window.partitionBy("cell_id")
-
-
 def scaled(x: DataFrame, target: float, zero: float) -> DataFrame:
-    total = F.sum("value").over(CELL)
+    total = F.sum("value").over(Window.partitionBy("cell_id"))
     return x.withColumn("value", F.when(total == 0, F.col("value") * zero).otherwise(F.col("value") * target / F.when(total == 0, 1.0).otherwise(total)))
 
 

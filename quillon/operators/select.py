@@ -60,9 +60,7 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.1, passes: int = 3) ->
             slope = (w * (x - mx) * (y - my)).sum() / sxx if sxx > 1e-12 * s else 0.0
             fit[i] = my + slope * (x[i] - mx)
         residual = np.abs(y - fit)
-        scale = np.median(residual)
-        if scale < 1e-12:
-            break
+        scale = max(np.median(residual), 1e-9 * (1 + np.abs(y).max()))
         robust = np.clip(1 - (residual / (6 * scale)) ** 2, 0, None) ** 2
     return fit
 

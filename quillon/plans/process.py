@@ -17,8 +17,9 @@ WORKFLOWS = {
 }
 
 
-def process(ds: Dataset, steps: Steps, workflow: str = "default", min_genes: int = 1, min_cells: int = 1, max_pct_mt: float | None = None, prefix: str = "MT-", n_top: int = 500, components: int = 20, resolution: float = 1.0, seed: int = 0) -> Dataset:
-    """Quality metrics, filters, normalization, variable genes, components, neighbours, communities."""
+def process(ds: Dataset, steps: Steps, workflow: str = "default", min_genes: int = 1, min_cells: int = 1, max_pct_mt: float | None = None, prefix: str = "MT-", n_top: int = 500, floor: int | None = None, components: int = 20, resolution: float = 1.0, seed: int = 0) -> Dataset:
+    """Quality metrics, filters, normalization, variable genes, components, neighbours, communities. ``floor`` replaces the workflow's
+    least number of cells that a variable gene is found in."""
     need_choice(workflow, WORKFLOWS, "workflow")
     how = WORKFLOWS[workflow]
     ds = qc.qc_metrics(ds, prefix)
@@ -26,7 +27,7 @@ def process(ds: Dataset, steps: Steps, workflow: str = "default", min_genes: int
     ds = subset.filter_genes(ds, min_cells=min_cells)
     ds = ds.with_frames(x=steps.keep(ds.x), cells=steps.keep(ds.cells), genes=steps.keep(ds.genes))
     normal = normalize.normalize_total(ds)
-    chosen = steps.keep(select.variable_genes(normal, n_top, min_cells=how["floor"]))
+    chosen = steps.keep(select.variable_genes(normal, n_top, min_cells=how["floor"] if floor is None else floor))
     narrow = subset.keep_genes(ds.with_frames(genes=ds.genes.join(chosen.select("gene_id", "highly_variable"), "gene_id", "left")), F.coalesce("highly_variable", F.lit(False)))
     logged = normalize.renormalize(narrow) if how["renormalize"] else normalize.log_transform(subset.keep_genes(normal.with_frames(genes=narrow.genes), F.lit(True)))
     logged = logged.with_frames(x=steps.keep(logged.x))

@@ -99,7 +99,7 @@ query("x2_max_cells")(lambda s, d: s.createDataFrame([(m, process.max_cells(m, 2
 
 @query("x5_process")
 def whole(s, d):
-    ds = process.process(cust_part(s, d), Steps(s, "process"), n_top=200, components=10)
+    ds = process.process(cust_part(s, d), Steps(s, "process"), n_top=200, floor=5, components=10)
     need_column(ds.cells, "leiden")
     return ds.cells.select("cell_id", "n_counts", "n_genes", "leiden")
 
