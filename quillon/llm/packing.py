@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,14 +24,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import byte_symbols
 from quillon.llm.common import Scratch, chunks, table
 
 WINDOW = 2048
 SEPARATOR = 1
 #: Pieces of one length are ranked in so many shares, so that a length that many have isn't ranked by one task.
 SHARES = 64
-MEMO_WORDS = 1_000_000
-TOGETHER = 16_384
+MEMO_PIECES = 1_000_000
 
 LOWER = "a-zß-öø-ÿ"
 SIMPLE = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -38,8 +39,9 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^\s{LOWER}0-9]+
 
 
 class WordIds:
-    """Ids of whole texts. A text of plain letters is split into the words that are merged on their own, and words met
-    lately are remembered; any other text goes to the library as it is."""
+    """Ids of whole texts. A text of plain letters needs no normalizing but lower case: it is split into the pieces that are
+    merged on their own, pieces go to the library's model as it spells them, and those met lately are remembered. Any other text goes
+    to the library as it is."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -50,33 +52,30 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.spelled = dict(enumerate(byte_symbols()))
         self.memo: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.memo) + len(pieces) > MEMO_PIECES:
             self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for at in range(0, len(new), TOGETHER):
-            part = new[at : at + TOGETHER]
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # one word id for each piece
-            raw, owner = np.array(coded.ids, "<u4").tobytes(), np.array(coded.word_ids)
-            edges = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(raw)]
-            if len(edges) != len(part) + 1:
-                raise ValueError("the pieces of this tokenizer can't be merged side by side")
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+        memo, merge, spelled = self.memo, self.merge, self.spelled
+        for piece in pieces:
+            if piece not in memo:
+                memo[piece] = array("I", [t.id for t in merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(spelled))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [PIECES(t.lower()) if SIMPLE(t) and "<|" not in t else None for t in texts]
-        self.learn(set().union(*(words for words in split if words)))
+        self.learn(set().union(*(pieces for pieces in split if pieces)))
         get = self.memo.__getitem__
-        return [b"".join(map(get, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split)]
+        return [b"".join(map(get, pieces)) if pieces is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, pieces in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
-    """doc_id, start, length, ids (binary), ids_crc32, doc_tokens: every document cut at each full window."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (binary): every document cut at each full window."""
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,16 +83,16 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int
             _TOKENIZERS[tokenizer] = WordIds(tokenizer)
         words = _TOKENIZERS[tokenizer]
         for batch in chunks(batches):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")[: 5 + with_ids]}
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at : at + 4 * window]
-                    for k, v in zip(out, (doc, at // 4, len(part) // 4, part, zlib.crc32(part), len(ids) // 4)):
+                    for k, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], list(out))
 
-    schema = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -189,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int =
     """Every piece with sequence_id and offset. The ids are left out: (doc_id, start, length) tells them, ids_crc32 proves them."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    kept = scratch.keep(pieces(docs, tokenizer, window, separator).drop("ids"))
+    kept = scratch.keep(pieces(docs, tokenizer, window, separator, with_ids=False))
     share = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SHARES))
     counted = kept.groupBy("length", share.alias("share")).agg(F.count("*").alias("n")).collect()  # window * SHARES rows at most
     histogram: dict[int, int] = defaultdict(int)
