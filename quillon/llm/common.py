@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +68,11 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += size + 64
         yield batch.slice(start)
+
+
+def thinned(df: DataFrame, by: list[str], wanted: int, total: int) -> DataFrame:
+    """Of ``total`` rows those under a bound of their hash that leaves about four times as many as wanted, all if they are few.
+    Sorting what is left and taking the first then brings the driver a number of rows that doesn't grow with the partitions."""
+    if total <= 8 * wanted:
+        return df
+    return df.where(F.xxhash64(*by) <= int(-(1 << 63) + 4 * wanted / total * (1 << 64)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, table
+from quillon.llm.common import Scratch, chunks, table, thinned
 
 #: Parameters: the sample that the tagger is fitted on, its size, and the windows.
 SAMPLE = 1500
@@ -302,8 +302,8 @@ def sample_windows(docs: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np
                     rows["tags"].append(bytes(tags))
             yield pa.RecordBatch.from_arrays([pa.array(rows["key"], pa.int64()), pa.array(rows["piece"], pa.string()), pa.array(rows["tags"], pa.binary())], list(rows))
 
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, piece string, tags binary")
-    picked = each.orderBy(F.xxhash64("key", "piece"), "piece").limit(bound).collect()
+    each = Scratch(docs.sparkSession, "pii").keep(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, piece string, tags binary"))
+    picked = thinned(each, ["key", "piece"], bound, each.count()).orderBy(F.xxhash64("key", "piece"), "piece").limit(bound).collect()
     x, y = np.full((len(picked), WIDTH), PAD), np.zeros((len(picked), WIDTH), np.int64)
     for i, r in enumerate(picked):
         c = codes(r.piece)
