@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, table
+from quillon.llm.common import Scratch, chunks, table
 
 #: Parameters. LEXICON_WORDS bounds the lexicon and so what is broadcast; SKETCH_WORDS bounds what a task counts with.
 LEXICON_WORDS = 32_768
@@ -196,8 +196,6 @@ class Lexicon:
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n))])[:-1][order]
         state, number = np.full(n, self.root, np.int64), np.zeros(n, np.int64)
         live = np.arange(n)
-        if not len(self.label):
-            return np.where(np.array([w == b"" for w in words]) & bool(self.final[self.root]), 0, -1)
         depth = 0
         while len(live := live[sizes[live] > depth]):
             arc = self.arc[state[live] * 256 + data[at[live] + depth]] - 1
@@ -275,7 +273,15 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
         yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([total[w] for w in words], pa.int64())})
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").where("n > 1")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
+    summed = Scratch(docs.sparkSession, "words").keep(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    # The driver gets little more than it keeps: words of the bins of counts (a few hundred at most) that hold the first n.
+    bins = summed.groupBy(F.floor(8 * F.log2("n")).cast("int").alias("bin")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy(F.desc("bin")).collect()
+    met, least = 0, 0
+    for r in bins:
+        met, least = met + r.k, r.low
+        if met >= n:
+            break
+    top = summed.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(n)
     return [r.word for r in top.collect()]
 
 
