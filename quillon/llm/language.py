@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, table
+from quillon.llm.common import chunks, table, thinned
 
 #: Parameters. The model is fitted on at most SAMPLE labelled rows, SAMPLE_WORDS words of each.
 SAMPLE = 2000
@@ -215,7 +215,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(cutted, pa.string())], ["h", "lang", "words"])
 
     labelled = docs.where(~held_out()).where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    picked = labelled.select("h", "lang").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # texts of the rows under this hash only are read
+    marked = docs.where(~held_out()).where("lang is not null").select("doc_id")
+    few = thinned(marked, ["doc_id"], sample, marked.count())
+    picked = few.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # texts of the rows under this hash only are read
     if picked is None:
         return None
     rows = labelled.where(F.col("h") <= picked).mapInArrow(cut, "h long, lang string, words string").where("words <> ''").orderBy("h", "words").limit(sample).collect()
