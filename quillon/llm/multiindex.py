@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, table
+from quillon.llm.common import Scratch, table, thinned
 from quillon.llm.vectors import exact_dot, matrix, usable
 
 K = 20
@@ -102,7 +102,7 @@ def search(rows: DataFrame, queries, key: str = "vec_id", column: str = "embeddi
     scratch = scratch or Scratch(spark, "multiindex")
     good, dim = usable(rows, key, column)
     good = scratch.keep(good.withColumnRenamed(key, "id"))
-    picked = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    picked = thinned(good, ["id"], SAMPLE, good.count()).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = matrix(picked.column("v").combine_chunks(), dim)
