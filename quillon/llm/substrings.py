@@ -159,9 +159,13 @@ def kept_words(text: str | None, spans: list | None) -> tuple[list[bytes], np.nd
     return words, np.cumsum(change[:-1]) == 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    found = spans.select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name, which none of theirs has."""
+    name = "_spans"
+    while name in docs.columns or f"{name}_doc" in docs.columns:
+        name += "_"
+    found = spans.select(F.col("doc_id").alias(f"{name}_doc"), F.col("spans").alias(name))
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(f"{name}_doc"), "left").drop(f"{name}_doc"), name
 
 
 def digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -177,7 +181,7 @@ def digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(docs, spans).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs, spans)[0].mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
@@ -188,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts, gone = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(extra).to_pylist()):
                 if found:
                     words, keep = kept_words(text, found)
                     gone.append(bool(len(words)) and not keep.any())
@@ -201,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scra
             yield out.filter(pa.array([not g for g in gone], pa.bool_()))
 
     names = docs.columns
-    changed = with_spans(docs, spans)
+    changed, extra = with_spans(docs, spans)
     spans_of = [n == "n_chars" and dict(docs.dtypes)[n] == "bigint" for n in names]
     return changed.mapInArrow(run, docs.schema)
 
