@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quillon.adapters import cust_part, doc_token, order_brand, supp_brand, table
 from quillon.frames import Dataset
 from quillon.functions import numeric
-from quillon.operators import annotate, compare, curate, markers, normalize, qc, select, subset
+from quillon.operators import annotate, compare, curate, markers, normalize, plotframes, qc, select, subset
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -324,3 +324,20 @@ tree = lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_r
 UP = f"RECURSIVE {TREE}, up AS (SELECT term, term AS ancestor, 0 AS steps FROM (SELECT term FROM tr UNION SELECT parent FROM tr) UNION ALL SELECT up.term, tr.parent, steps + 1 FROM up JOIN tr ON up.ancestor = tr.term), an AS (SELECT term, ancestor, min(steps) AS steps FROM up GROUP BY 1, 2)"
 query("j10_ancestors", f"WITH {UP} SELECT term, ancestor, steps::BIGINT AS steps FROM an")(lambda s, d: annotate.ancestors(tree(s, d)))
 query("j10_common_ancestors", f"WITH {UP}, k AS (SELECT a.term AS a, b.term AS b, a.ancestor, row_number() OVER (PARTITION BY a.term, b.term ORDER BY a.steps + b.steps, a.ancestor) AS rn FROM an a JOIN an b USING (ancestor)) SELECT a, b, ancestor FROM k WHERE rn = 1")(lambda s, d: annotate.common_ancestors(tree(s, d)))
+
+# X6: the tables behind plots
+Q = ", q AS (SELECT cell_id, cluster, sample, coalesce(sum(value), 0) AS n_counts, count(*) FILTER (WHERE value > 0) AS n_genes FROM cells LEFT JOIN x USING (cell_id) GROUP BY 1, 2, 3)"
+measured = lambda s, d: qc.qc_metrics(cust_part(s, d), "none ")
+query("x6_scatter_qc", f"WITH {CP} {Q} SELECT cell_id, {r('n_counts')} AS n_counts, n_genes FROM q")(lambda s, d: plotframes.scatter_qc(measured(s, d).cells))
+query("x6_violin", f"WITH {CP} {Q} SELECT cluster, count(n_counts) AS n, {r('min(n_counts)')} AS low, {r('quantile_cont(n_counts, 0.25::DOUBLE)')} AS q25, {r('quantile_cont(n_counts, 0.5::DOUBLE)')} AS median, {r('quantile_cont(n_counts, 0.75::DOUBLE)')} AS q75, {r('max(n_counts)')} AS high FROM q GROUP BY 1")(
+    lambda s, d: plotframes.violin(measured(s, d).cells, "n_counts", "cluster")
+)
+query("x6_gene_violin", f"WITH {CP}, v AS (SELECT cell_id, cluster, coalesce(max(value) FILTER (WHERE gene_id = 5), 0) AS g FROM cells LEFT JOIN x USING (cell_id) GROUP BY 1, 2) SELECT cluster, count(*) AS n, {r('min(g)')} AS low, {r('quantile_cont(g, 0.25::DOUBLE)')} AS q25, {r('quantile_cont(g, 0.5::DOUBLE)')} AS median, {r('quantile_cont(g, 0.75::DOUBLE)')} AS q75, {r('max(g)')} AS high FROM v GROUP BY 1")(
+    lambda s, d: plotframes.gene_violin(cust_part(s, d), 5, "cluster")
+)
+query("x6_kept_and_removed", f"WITH {CP} {Q}, p AS (SELECT ln(n_counts) AS l, n_genes >= 30 AS kept FROM q WHERE n_counts > 0), e AS (SELECT min(l) AS lo, (max(l) - min(l)) / 64 AS step FROM p) SELECT kept, CAST(least(63, floor((l - lo) / step + 1e-9)) AS BIGINT) AS bin, count(*) AS n FROM p, e GROUP BY 1, 2")(
+    lambda s, d: plotframes.kept_and_removed(measured(s, d).cells, F.col("n_genes") >= 30, "n_counts")
+)
+query("x6_overview", f"WITH {CP} {Q} SELECT count(*) AS n_cells, {r('quantile_cont(n_counts, 0.5::DOUBLE)')} AS median_counts, {r('quantile_cont(n_genes::DOUBLE, 0.5::DOUBLE)')} AS median_genes, (SELECT count(*) FROM genes) AS n_genes FROM q")(lambda s, d: plotframes.overview(measured(s, d)))
+query("x6_volcano")(lambda s, d: compare.volcano(compare.compare_pseudobulk(order_brand(s, d), "condition", "O", "cluster", "sample")))
+query("x6_fold_changes")(lambda s, d: plotframes.fold_changes(compare.compare_pseudobulk(order_brand(s, d), "condition", "O", "cluster", "sample")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.adapters import cust_part, supp_brand, vectors
-from quillon.operators import decompose, doublets, graph, integrate, normalize, qc
+from quillon.operators import decompose, doublets, graph, integrate, normalize, plotframes, qc
 from quillon.plans.steps import Steps
 from quillon.queries_graph import fuzzy
 from quillon.queries_matrix import SB, VAR, r, tidy
@@ -58,3 +58,7 @@ query("a10_distances_in_plan", f"WITH a AS (SELECT vec_id AS src, embedding::DOU
 query("a9_gram_packed", f"WITH {SBN} SELECT {r('sum(value * value)', 4)} AS trace, count(DISTINCT gene_id) AS genes FROM xl", 4)(
     lambda s, d: (lambda ds: qc.gram(ds.x).where("g1 = g2").agg(F.sum("dot").alias("trace"), F.count("*").alias("genes")))(sb(s, d))
 )
+query("x6_explained_variance")(lambda s, d: plotframes.explained_variance(decompose.pca(sb(s, d), 10)[2]))
+query("x6_doublet_histogram")(lambda s, d: plotframes.doublet_histogram(doublets.scrublet(cust_part(s, d), "cluster")))
+query("x6_embedding")(lambda s, d: plotframes.embedding(vectors(s, d), vectors(s, d), "label"))
+query("x6_embedding_binned")(lambda s, d: plotframes.embedding(vectors(s, d), vectors(s, d), "label", limit=0, bins=20))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from quillon.adapters import cust_part, doc_token, supp_brand, table
@@ -9,7 +11,7 @@ from quillon.functions.checks import need_column
 from quillon.plans import process
 from quillon.plans.steps import Steps
 from quillon.queries_matrix import CP, SB, r, tidy
-from quillon.sources import mtx, store
+from quillon.sources import h5, mtx, store
 from quillon.streaming import metrics
 
 QUERIES: dict = {}
@@ -35,6 +37,26 @@ def matrix_folder(s, d):
     return ds.x.join(ds.cells, "cell_id").join(ds.genes, "gene_id").select("cell_id", "gene_id", "value", "cell_name", "gene_name")
 
 
+def h5_file(s, d) -> str:
+    at = Steps(s, "h5").root.removeprefix("file://")
+    os.makedirs(at)
+    h5.write_h5ad(supp_brand(s, d), f"{at}/x.h5ad", chunk=1000)
+    return f"{at}/x.h5ad"
+
+
+PLACED = f"WITH {SB}, c AS (SELECT cell_id, cell_name, row_number() OVER (ORDER BY cell_id) - 1 AS c FROM cells), g AS (SELECT gene_id, gene_name, row_number() OVER (ORDER BY gene_id) - 1 AS g FROM genes)"
+
+
+@query("s1_h5ad", f"{PLACED} SELECT c AS cell_id, g AS gene_id, {r('value')} AS value, cell_name, gene_name FROM x JOIN c USING (cell_id) JOIN g USING (gene_id)")
+def h5ad(s, d):
+    """Written as an annotated matrix and read again (s12 is the writing)."""
+    ds = store.open_any(s, h5_file(s, d))
+    return ds.x.join(ds.cells.select("cell_id", "cell_name"), "cell_id").join(ds.genes.select("gene_id", "gene_name"), "gene_id").select("cell_id", "gene_id", "value", "cell_name", "gene_name")
+
+
+query("s5_scan_h5ad", f"WITH {SB} SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT count(*) FROM genes) AS n_genes, (SELECT count(*) FROM x) AS nnz")(
+    lambda s, d: (lambda m: s.createDataFrame([(m["n_cells"], m["n_genes"], m["nnz"])], "n_cells long, n_genes long, nnz long"))(h5.scan_h5ad(h5_file(s, d)))
+)
 query("s5_scan", f"WITH {CP} SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT count(*) FROM genes) AS n_genes, (SELECT count(*) FROM x) AS nnz, {r('1 - (SELECT count(*) FROM x) / ((SELECT count(*) FROM cells)::DOUBLE * (SELECT count(*) FROM genes))')} AS sparsity")(
     lambda s, d: store.scan(cust_part(s, d))
 )

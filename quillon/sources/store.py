@@ -78,7 +78,9 @@ def open_any(spark: SparkSession, path: str) -> Dataset:
 
     kind = sniff(path)
     if kind in ("h5ad", "10x h5"):
-        raise NotImplementedError("HDF5 files can't be read here; convert them to a matrix folder or to Parquet")
+        from quillon.sources import h5
+
+        return h5.read_h5ad(spark, path) if kind == "h5ad" else h5.read_10x_h5(spark, path)
     if kind == "mtx" or any(hadoop_exists(spark, f"{path}/matrix.mtx{z}") for z in ("", ".gz")):
         return read_mtx(spark, path.rsplit("/", 1)[0] if kind == "mtx" else path)
     return read(spark, path)
