@@ -12,8 +12,10 @@ class Steps:
     def __init__(self, spark: SparkSession, name: str = "steps") -> None:
         conf = spark.sparkContext.getConf()
         at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            at = tempfile.mkdtemp(prefix="quillon-")
+        if not at:  # a temporary folder on one machine only, else one in the warehouse
+            master = spark.sparkContext.master
+            one_machine = master.startswith("local") and not master.startswith("local-cluster")
+            at = tempfile.mkdtemp(prefix="quillon-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
             spark.conf.set("spark.checkpoint.dir", at)
         self.spark, self.root, self.n = spark, f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
