@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where none is configured (tests, one machine)."""
+    """The folder all executors share. Where none is configured: a temporary one on one machine, else a folder in the warehouse."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="quillon-")
+        master = spark.sparkContext.master
+        one_machine = master.startswith("local") and not master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="quillon-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
