@@ -51,7 +51,11 @@ def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, comp
     m, s = x[:, ok].mean(axis=0), np.maximum(x[:, ok].std(axis=0), 1e-9)
     z = (x[:, ok] - m) / s
     k = min(components, *z.shape)
-    turn = np.linalg.svd(z, full_matrices=False)[2][:k].T
+    # The leading right singular vectors, from the smaller of the two products.
+    small, first = (z @ z.T, True) if z.shape[0] < z.shape[1] else (z.T @ z, False)
+    values, vectors = np.linalg.eigh(small)
+    lead = vectors[:, ::-1][:, :k]
+    turn = z.T @ lead / np.sqrt(np.maximum(values[::-1][:k], 1e-12)) if first else lead
     a, b = rng.integers(0, n, int(ratio * n)), rng.integers(0, n, int(ratio * n))
     # The sum of two cells, normalized by the sum of their totals, is a weighted mean of the two.
     w = (total[a] / (total[a] + total[b]))[:, None]
