@@ -69,81 +69,149 @@ def distance(a: str, b: str, metric: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
 
 
-def descent(emb: DataFrame, steps: Steps, k: int = 15, metric: str = "euclidean", seeds: int = 3, leaf: int = 64, rounds: int = 6, delta: float = 0.01, seed: int = 0) -> DataFrame:
+def tree_count(total: int) -> int:
+    return min(48, 8 + round(total**0.5 / 10))
+
+
+def descent(emb: DataFrame, steps: Steps, k: int = 15, metric: str = "euclidean", seeds: int | None = None, leaf: int = 256, rounds: int | None = None, delta: float = 0.001, seed: int = 0, most: int = 16_384, width: int | None = None) -> DataFrame:
     """Approximate neighbours for large sets: leaves of random projection trees to start with, then neighbours of neighbours.
 
-    Each round joins every cell's neighbours with each other (at most k * k candidates a cell), computes distances and keeps the best;
-    it ends when less than ``delta`` of the edges change.
+    Each round compares every cell's neighbours in either direction (at most 2 ``width``), and the cell itself, with each other and
+    keeps the ``width`` best (2 k by default, of which k - 1 are returned); it ends when less than ``delta`` of the edges change. Trees (8 and a tenth of the root of the cells, 48 at most) and rounds
+    (the logarithm of the cells, 5 at least) grow with the cells. A tree is cut at medians of a sample into groups of about ``most``
+    cells, and within a task each group in halves down to leaves of ``leaf`` cells, so that a leaf always holds
+    more than ``width``.
     """
+    need_choice(metric, ("euclidean", "cosine"), "metric")
+    emb = emb.select("cell_id", F.col("v").cast("array<double>").alias("v"))
     total = n_rows(emb)
-    depth = max(0, int(np.ceil(np.log2(max(total, 1) / leaf))))
+    width = max(width or 2 * k, k - 1)
+    seeds, leaf = seeds or tree_count(total), max(leaf, 2 * width + 2)
+    rounds = rounds or max(5, round(float(np.log2(max(total, 1)))))
+    depth = max(0, int(np.ceil(np.log2(max(total, 1) / most))))
     rng = np.random.default_rng(seed)
-    dim = len(emb.select("v").first().v)
-    turns = rng.normal(size=(seeds, depth, dim))
-    sample = np.array([r.v for r in emb.orderBy(F.xxhash64("cell_id", F.lit(seed))).select("v").limit(4096).collect()])
-    # Medians of the sample at each node of each tree keep leaves even.
-    trees = []
-    for t in range(seeds):
+    trees, turns = [], None
+    if depth:
+        sample = to_matrix(emb.orderBy(F.xxhash64("cell_id", F.lit(seed))).select("v").limit(max(4096, 32 << depth)).toArrow().column("v").combine_chunks())
+        turns = rng.normal(size=(seeds, depth, sample.shape[1]))
+    for t in range(seeds if depth else 0):
         code, cuts = np.zeros(len(sample), np.int64), []
         for d in range(depth):
-            side, level = sample @ turns[t, d], {}
-            new = code * 2
-            for node in np.unique(code):
-                mine = code == node
-                level[int(node)] = float(np.median(side[mine]))
-                new[mine] += side[mine] > level[int(node)]
+            side, level = sample @ turns[t, d], np.zeros(1 << d)
+            order = np.argsort(code, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                level[code[mine[0]]] = np.median(side[mine])
             cuts.append(level)
-            code = new
+            code = code * 2 + (side > level[code])
         trees.append(cuts)
 
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(v: np.ndarray, t: int) -> np.ndarray:
+        code = np.zeros(len(v), np.int64)
+        for d in range(depth):
+            code = code * 2 + (v @ turns[t, d] > trees[t][d][code])
+        return code
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                v = to_matrix(batch.column("v"))
+                for t in range(seeds):
+                    code, n = np.unique(route(v, t), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t)), pa.array(code), pa.array(n)], ["tree", "code", "n"])
+
+    def planter(of: range, parts: dict[tuple[int, int], int]):
+        def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v, h = to_matrix(batch.column("v")), batch.column("h").to_numpy()
+                for t in of:
+                    code, part = route(v, t), np.zeros(len(v), np.int64)
+                    for (tree, node), n in parts.items():
+                        if tree == t:
+                            part = np.where(code == node, h % n, part)
+                    yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(np.full(len(v), t)), pa.array(code), pa.array(part), batch.column("v")], ["cell_id", "tree", "code", "part", "v"])
+
+        return emb.withColumn("h", F.xxhash64("cell_id", F.lit(seed))).mapInArrow(plant, "cell_id long, tree long, code long, part long, v array<double>")
+
+    def nearest(ids: np.ndarray, v: np.ndarray, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(src, dst, dist): the nearest of each point among the others, those nearer than ``far``."""
+        if metric == "cosine":
+            u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            d = 1 - u @ u.T
+        else:
+            s = (v * v).sum(axis=1)
+            d = s[:, None] + s[None] - 2 * v @ v.T
+        np.fill_diagonal(d, np.inf)
+        m = min(width, len(ids) - 1)
+        near = np.argpartition(d, m - 1, axis=1)[:, :m].ravel()
+        row = np.repeat(np.arange(len(ids)), m)
+        # What is small in the difference of large squares is measured again.
+        dist = d[row, near] if metric == "cosine" else np.sqrt(((v[row] - v[near]) ** 2).sum(axis=1))
+        ok = np.ones(len(row), bool) if far is None else dist < far[row]
+        return ids[row][ok], ids[near][ok], dist[ok]
+
+    def within(key: tuple, table: pa.Table) -> pa.Table:
+        ids, v = table.column("cell_id").to_numpy(), to_matrix(table.column("v").combine_chunks())
+        draw = np.random.default_rng([seed, *(int(x.as_py()) for x in key)])
+        todo, found = [np.argsort(ids)], []
+        while todo:
+            at = todo.pop()
+            if len(at) > leaf:
+                a, b = draw.choice(at, 2, replace=False)
+                side = v[at] @ (v[a] - v[b])
+                # Even halves, also of copies, which no plane parts: ties are drawn.
+                at = at[np.lexsort((draw.random(len(at)), side))]
+                todo += [at[: len(at) // 2], at[len(at) // 2 :]]
+            elif len(at) > 1:
+                found.append(nearest(ids[at], v[at]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, names=["src", "dst", "dist"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by ``at``: the members of each list with each other. A list can go on in the next batch."""
+        at, ids, far, v = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None)
+        for batch in (*batches, None):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                more = to_matrix(batch.column("v"))
+                at, ids, far = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((at, "at"), (ids, "cell_id"), (far, "far")))
+                v = more if v is None else np.concatenate([v, more])
+            if v is None:
                 continue
-            v = to_matrix(batch.column("v"))
-            for t in range(seeds):
-                code = np.zeros(len(v), np.int64)
-                for d in range(depth):
-                    cut = np.array([trees[t][d].get(int(c), 0.0) for c in code])
-                    code = code * 2 + (v @ turns[t, d] > cut)
-                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(code * seeds + t), batch.column("v")], ["cell_id", "leaf", "v"])
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for points in batch.column("points").to_pylist():
-                ids, v = np.array([p["cell_id"] for p in points]), np.array([p["v"] for p in points])
-                if metric == "cosine":
-                    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    d = 1 - u @ u.T
-                else:
-                    d = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v @ v.T))
-                np.fill_diagonal(d, np.inf)
-                m = min(k - 1, len(ids) - 1)
-                if m > 0:
-                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel())], ["src", "dst", "dist"])
+            ends = np.append(np.flatnonzero(np.diff(at)) + 1, [] if batch is not None else [len(at)]).astype(np.int64)
+            found, first = [], 0
+            for end in ends:
+                if end - first > 1:
+                    found.append(nearest(ids[first:end], v[first:end], far[first:end]))
+                first = int(end)
+            at, ids, far, v = at[first:], ids[first:], far[first:], v[first:]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["src", "dst", "dist"])
 
     w = Window.partitionBy("src").orderBy("dist", "dst")
-    best = lambda df: df.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k - 1)
-    # A leaf that holds many copies is split by hash, so that no group is unbounded.
-    sized = emb.select("cell_id", "v").mapInArrow(plant, "cell_id long, leaf long, v array<double>")
-    leaves = sized.groupBy("leaf", F.pmod(F.xxhash64("cell_id"), F.lit(1 + total // 100_000)).alias("part")).agg(F.collect_list(F.struct("cell_id", "v")).alias("points"))
-    graph = steps.keep(best(leaves.mapInArrow(within, "src long, dst long, dist double")))
-    a = emb.select(F.col("cell_id").alias("src"), F.col("v").alias("va"))
-    b = emb.select(F.col("cell_id").alias("dst"), F.col("v").alias("vb"))
-    for _ in range(rounds):
-        both = graph.select("src", "dst").union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        both = both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64("dst", F.lit(seed))))).where(F.col("r") <= 2 * k)
-        hop = both.select(F.col("src").alias("dst_"), F.col("dst").alias("far"))
-        candidates = both.join(hop, F.col("dst") == F.col("dst_")).where("src <> far").select("src", F.col("far").alias("dst")).distinct()
-        fresh = candidates.join(graph.select("src", "dst"), ["src", "dst"], "left_anti")
-        scored = fresh.join(a, "src").join(b, "dst").select("src", "dst", distance("va", "vb", metric).alias("dist"))
+    best = lambda df: df.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= width)
+    # Only a group that is too large, as of many copies, is split by hash, into parts of about ``most`` cells.
+    sizes = emb.select("v").mapInArrow(tally, "tree long, code long, n long").groupBy("tree", "code").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * most).collect() if depth else []
+    parts = {(r.tree, r.code): -(-r.n // most) for r in sizes}
+    graph = None
+    for first in range(0, seeds, 8):
+        found = planter(range(first, min(first + 8, seeds)), parts).groupBy("tree", "code", "part").applyInArrow(within, "src long, dst long, dist double")
+        graph = steps.keep(best(found if graph is None else found.union(graph.select("src", "dst", "dist"))))
+    for turn in range(rounds):
+        far = graph.groupBy("src").agg(F.when(F.count("*") >= width, F.max("dist")).otherwise(float("inf")).alias("far"))
+        points = emb.join(far, F.col("cell_id") == F.col("src"), "left").select("cell_id", "v", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        both = graph.select(F.col("src").alias("at"), F.col("dst").alias("id"), F.lit(0).alias("back")).union(graph.select("dst", "src", F.lit(1))).groupBy("at", "id").agg(F.min("back").alias("back"))
+        both = both.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy("back", F.xxhash64("id", F.lit(seed + turn))))).where(F.col("r") <= 2 * width).select("at", "id")
+        lists = both.union(emb.select("cell_id", "cell_id")).join(points, F.col("id") == F.col("cell_id")).select("at", "cell_id", "far", "v")
+        scored = lists.repartition("at").sortWithinPartitions("at").mapInArrow(meet, "src long, dst long, dist double")
         new = steps.keep(best(graph.select("src", "dst", "dist").union(scored)))
         changed = n_rows(new.join(graph, ["src", "dst"], "left_anti"))
         graph = new
         if changed <= delta * max(1, n_rows(new)):
             break
-    return graph
+    return graph.where(F.col("rank") <= k - 1)
 
 
 def smooth_weights(knn: DataFrame, k: int = 15, rounds: int = 64) -> DataFrame:

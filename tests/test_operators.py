@@ -142,6 +142,24 @@ def test_neighbors_exact_and_by_descent(spark, points):
     assert np.mean([len(exact[i] & near[i]) / 9 for i in range(300)]) >= 0.95
 
 
+def test_descent_in_many_groups_keeps_every_cell(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + rng.normal(0, 1, (250, 8)) for c in rng.normal(0, 6, (8, 8))])
+    v[:300] = v[0]  # copies, which no plane parts, in more than one group's bound
+    emb = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "cell_id long, v array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    far = np.sort(d, axis=1)[:, 8]
+    # 128 groups a tree, as two million cells have by default
+    rows = graph.descent(emb, Steps(spark, "t"), 10, most=16).collect()
+    found = {}
+    for r in rows:
+        assert np.isclose(r.dist, d[r.src, r.dst], atol=1e-9)
+        found.setdefault(r.src, set()).add(r.dst)
+    assert all(len(found.get(i, ())) == 9 for i in range(2000))
+    assert np.mean([r.dist <= far[r.src] + 1e-9 for r in rows]) >= 0.95
+
+
 def test_smooth_weights_add_up(points):
     rows = graph.smooth_weights(graph.exact_neighbors(points[1], 15), 15).groupBy("src").agg(F.sum("w").alias("s")).collect()
     assert np.allclose([r.s for r in rows], np.log2(15), atol=1e-3)
