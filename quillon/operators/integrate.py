@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.frames import Dataset, n_rows
 from quillon.operators.decompose import pca
 from quillon.operators.graph import to_matrix
-from quillon.operators.select import variable_genes
+from quillon.operators.select import shared_genes, variable_genes
 from quillon.plans.steps import Steps
 
 
@@ -135,7 +135,8 @@ def harmony(emb: DataFrame, batches: DataFrame, steps: Steps, theta: float = 2.0
 
 
 def integrate_datasets(ds: Dataset, batch: str, steps: Steps, n_top: int = 500, k: int = 20) -> DataFrame:
-    """Shared variable genes, components of all cells, then :func:`harmony`. ``ds.x`` is normalized, not logarithmic."""
+    """Variable genes among those found in every batch, components of all cells, then :func:`harmony`. ``ds.x`` is normalized, not logarithmic."""
+    ds = shared_genes(ds, batch)
     chosen = variable_genes(ds, n_top, min_cells=0).where("highly_variable").select("gene_id")
     logged = ds.x.join(chosen, "gene_id", "left_semi").withColumn("value", F.log(1 + F.col("value")))
     small = ds.with_frames(genes=ds.genes.join(chosen, "gene_id", "left_semi"), x=logged)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.frames import Dataset, n_rows
 from quillon.functions.checks import need_choice
 from quillon.functions.numeric import cut_bin, log1p
-from quillon.operators.qc import gene_moments
+from quillon.operators.qc import cluster_stats, gene_moments
 
 
 def variable_genes(ds: Dataset, n_top: int = 2000, n_bins: int = 20, min_cells: int | None = None, include: list[int] | None = None, flavor: str = "seurat", lowess_frac: float = 0.1) -> DataFrame:
@@ -28,6 +28,13 @@ def variable_genes(ds: Dataset, n_top: int = 2000, n_bins: int = 20, min_cells:
     return out.withColumn("highly_variable", F.coalesce(F.col("rank") <= n_top, F.lit(False)) | forced)
 
 
+def shared_genes(ds: Dataset, batch: str) -> Dataset:
+    """``ds`` with the genes only that have entries in every batch; cells without a batch don't count."""
+    n = ds.cells.where(F.col(batch).isNotNull()).agg(F.count_distinct(batch)).first()[0]
+    common = cluster_stats(ds, batch).groupBy("gene_id").agg(F.count("*").alias("k")).where(F.col("k") == n).select("gene_id")
+    return ds.with_frames(x=ds.x.join(common, "gene_id", "left_semi"), genes=ds.genes.join(common, "gene_id", "left_semi"))
+
+
 def seurat(moments: DataFrame, floor: int, n_bins: int) -> DataFrame:
     """Dispersion (variance over mean, logarithmic) standardised within bins of the logarithmic mean."""
     mean = F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))

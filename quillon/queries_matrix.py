@@ -222,6 +222,10 @@ query("h3_lowess_genes")(lambda s, d: select.variable_genes(normalize.normalize_
 query("h4_shared_variable_genes", f"""WITH {NORMAL}, f AS (SELECT cell_id, cluster FROM cells), common AS (SELECT gene_id FROM (SELECT gene_id, cluster FROM xn JOIN f USING (cell_id) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT cluster) FROM cells)) SELECT gene_id, count(*) AS stored FROM xn SEMI JOIN common USING (gene_id) GROUP BY 1""")(
     lambda s, d: (lambda ds: (lambda c: ds.x.join(c, "gene_id", "left_semi").groupBy("gene_id").agg(F.count("*").alias("stored")))(qc.cluster_stats(ds).groupBy("gene_id").agg(F.count("*").alias("k")).where(F.col("k") == ds.cells.select("cluster").distinct().count())))(normalize.normalize_total(cust_part(s, d)))
 )
+SHARED = ", shared AS (SELECT * FROM genes SEMI JOIN (SELECT gene_id FROM xn JOIN cells USING (cell_id) WHERE cluster IS NOT NULL GROUP BY 1 HAVING count(DISTINCT cluster) = (SELECT count(DISTINCT cluster) FROM cells)) USING (gene_id)), n AS ("
+query("h4_shared_variable_genes_ranked", HVG.format(floor=0, include="").replace(", n AS (", SHARED, 1).replace("FROM genes LEFT JOIN", "FROM shared LEFT JOIN").replace("genes.gene_id", "shared.gene_id"))(
+    lambda s, d: select.variable_genes(select.shared_genes(normalize.normalize_total(cust_part(s, d)), "cluster"), 500, min_cells=0).select("gene_id", "dispersion", "bin", "score", "rank", "highly_variable")
+)
 
 # D: differential statistics
 REST = """,

@@ -252,6 +252,18 @@ def test_harmony_closes_the_gap_between_batches(spark):
     assert integrate.batch_gap(fixed, frame(kind)) > 0.7 * integrate.batch_gap(emb, frame(kind))
 
 
+def test_integration_chooses_shared_genes_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    c = rng.poisson(3.0, (60, 12)).astype(float) + 1
+    c[:30, 0], c[30:, 0] = 0, rng.poisson(60, 30) * (rng.random(30) < 0.5)  # of one batch, and the most variable
+    ds = dataset(spark, c, ["a"] * 30 + ["b"] * 30)
+    assert select.variable_genes(ds, 4, min_cells=0).where("highly_variable and gene_id = 0").count() == 1
+    seen = {}
+    monkeypatch.setattr(integrate, "pca", lambda small, k: seen.update(genes=[r[0] for r in small.genes.select("gene_id").collect()], x={r[0] for r in small.x.select("gene_id").collect()}) or decompose.pca(small, k))
+    assert integrate.integrate_datasets(ds, "cluster", Steps(spark, "t"), 4, 3).count() == 60
+    assert len(seen["genes"]) == 4 and 0 not in seen["genes"] and seen["x"] == set(seen["genes"])
+
+
 def test_doublets_outrank_singlets(spark):
     rng = np.random.default_rng(3)
     base = np.full((3, 90), 0.2)
