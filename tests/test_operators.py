@@ -376,6 +376,16 @@ def test_whole_process(spark, counts):
     assert process.max_cells(8000, 20_000) > process.max_cells(1000, 20_000) > 0
 
 
+def test_whole_queries_leave_nothing_out(spark, sf):
+    from quillon import catalog
+
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    n, labels = table("embeddings").agg(F.count("*"), F.count_distinct("label")).first()
+    assert catalog.QUERIES["a10_distances_whole"](spark, sf).select("cell_id", "label").distinct().count() == n * labels
+    assert catalog.QUERIES["c1_marker_weights_whole"](spark, sf).select("cell_type").distinct().count() == table("part").select("p_type").distinct().count()
+    assert catalog.QUERIES["d3_adjusted_p_whole"](spark, sf).where("padj >= 0.5").count() > 0
+
+
 def test_checks(spark):
     with pytest.raises(KeyError, match="did you mean 'id'"):
         need_column(spark.range(1), "idd")
