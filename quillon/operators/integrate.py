@@ -136,8 +136,9 @@ def harmony(emb: DataFrame, batches: DataFrame, steps: Steps, theta: float = 2.0
 
 def integrate_datasets(ds: Dataset, batch: str, steps: Steps, n_top: int = 500, k: int = 20) -> DataFrame:
     """Variable genes among those found in every batch, components of all cells, then :func:`harmony`. ``ds.x`` is normalized, not logarithmic."""
-    ds = shared_genes(ds, batch)
-    chosen = variable_genes(ds, n_top, min_cells=0).where("highly_variable").select("gene_id")
+    ds = shared_genes(ds.with_frames(x=steps.keep(ds.x)), batch)
+    ds = ds.with_frames(x=steps.keep(ds.x), genes=steps.keep(ds.genes))
+    chosen = steps.keep(variable_genes(ds, n_top, min_cells=0).where("highly_variable").select("gene_id"))
     logged = ds.x.join(chosen, "gene_id", "left_semi").withColumn("value", F.log(1 + F.col("value")))
     small = ds.with_frames(genes=ds.genes.join(chosen, "gene_id", "left_semi"), x=logged)
     scores, _, _ = pca(small, k)
