@@ -45,7 +45,7 @@ def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, comp
     ok = (mean > 0) & (var > 0) & ((x >= 3).sum(axis=0) >= 3)
     if ok.sum() >= 20:
         v = v_scores(mean[ok], var[ok])
-        ok[np.flatnonzero(ok)[v < np.quantile(v, 0.5)]] = False
+        ok[np.flatnonzero(ok)[v < np.quantile(v, 0.85)]] = False
     else:
         ok = var > 0
     m, s = x[:, ok].mean(axis=0), np.maximum(x[:, ok].std(axis=0), 1e-9)

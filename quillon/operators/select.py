@@ -90,7 +90,7 @@ def lowess_scores(moments: DataFrame, floor: int, frac: float) -> DataFrame:
     if len(points) < 3:
         return moments.select("gene_id", "mean", F.lit(None).cast("double").alias("dispersion"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("score"))
     m, v = np.array([p.m for p in points]), np.array([p.v for p in points])
-    fit = lowess(m, v, frac, passes=20)
+    fit = lowess(m, v, frac, passes=100)
     knots = F.array(*[F.struct(F.lit(float(a)).alias("m"), F.lit(float(b)).alias("f")) for a, b in zip(m, fit)])
     nearest = F.try_element_at(F.filter(knots, lambda k: k["m"] <= F.log("mean")), F.lit(-1))["f"]
     scored = live.select("gene_id", F.log("var").alias("dispersion"), F.exp(F.log("var") - F.coalesce(nearest, F.lit(float(fit[0])))).alias("score"))

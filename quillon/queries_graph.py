@@ -101,8 +101,8 @@ def tree(s, d):
 query("g8_straight_cut")(lambda s, d: hierarchy.cut(kept(s, d)[0], n_clusters=10))
 query("g8_balanced_cut")(lambda s, d: hierarchy.cut(kept(s, d)[0], max_size=100, min_size=5))
 query("g9_subcluster")(lambda s, d: (lambda g: cluster.subcluster(g[0], labels(s, d), "3", g[2]))(kept(s, d)))
-query("g12_layout")(lambda s, d: layout.umap(kept(s, d)[0], epochs=100))
-query("g13_multilevel_layout")(lambda s, d: layout.umap(kept(s, d)[0], epochs=60, init="multilevel", labels=labels(s, d)))
+query("g12_layout")(lambda s, d: layout.umap(kept(s, d)[0]))
+query("g13_multilevel_layout")(lambda s, d: layout.umap(kept(s, d)[0], init="multilevel", labels=labels(s, d)))
 
 
 @query("c9_compare_analyses")

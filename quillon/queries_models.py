@@ -45,7 +45,7 @@ def harmony(s, d):
     emb = vectors(s, d)
     batch = emb.select("cell_id", (F.col("cell_id") % 3).cast("string").alias("batch"))
     shifted = emb.select("cell_id", F.transform("v", lambda x, i: x + F.when(i < 3, (F.col("cell_id") % 3) * 0.5).otherwise(0.0)).alias("v"))
-    return integrate.harmony(shifted, batch, Steps(s, "harmony"), max_iter=3).select("cell_id", F.element_at("v", 1).alias("v1"), F.element_at("v", 2).alias("v2"))
+    return integrate.harmony(shifted, batch, Steps(s, "harmony")).select("cell_id", F.element_at("v", 1).alias("v1"), F.element_at("v", 2).alias("v2"))
 
 
 query("r5_doublets")(lambda s, d: doublets.scrublet(cust_part(s, d), "cluster"))

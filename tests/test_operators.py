@@ -386,6 +386,18 @@ def test_whole_queries_leave_nothing_out(spark, sf):
     assert catalog.QUERIES["d3_adjusted_p_whole"](spark, sf).where("padj >= 0.5").count() > 0
 
 
+def test_registered_queries_take_the_defaults(spark, sf, monkeypatch):
+    from quillon import catalog
+
+    seen = []
+    monkeypatch.setattr(layout, "umap", lambda edges, epochs=None, **k: seen.append(epochs) or edges)
+    monkeypatch.setattr(integrate, "harmony", lambda emb, *a, **k: seen.append(k.get("max_iter")) or emb)
+    monkeypatch.setattr(select, "lowess", lambda m, v, frac, passes: seen.append(passes) or v)
+    for name in ("g12_layout", "g13_multilevel_layout", "r4_harmony", "h3_lowess_genes"):
+        catalog.QUERIES[name](spark, sf)
+    assert seen == [None, None, None, 100]
+
+
 def test_checks(spark):
     with pytest.raises(KeyError, match="did you mean 'id'"):
         need_column(spark.range(1), "idd")
