@@ -5,14 +5,17 @@ A word's features are its character n-grams with marked ends (so the outer ones
 a line of text is labelled by forward-backward, so text that switches between languages gets a distribution for each word;
 a document's language is the one with the largest mean probability over its words.
 
-Defined results: null text and text without any letter is ``und`` with score 0, and so is everything when no
-labelled row can be learnt from; repeated rows are labelled each on its own and alike; ties go to the language
-that sorts first; columns other than doc_id, text and (for training) lang are ignored.
+Defined results: null text, empty text and text without any letter is ``und`` with score 0 (numbers that aren't decimal digits, as in
+``½ ²``, aren't letters), and so is everything in ``predict`` when no labelled row can be learnt from, while ``keep_known`` then keeps
+every text that has a letter; repeated rows are labelled each on its own and alike; ties go to the language that sorts first; an empty
+table gives no rows; very long texts are read whole, one at a time; other columns are ignored by ``predict``, whatever their names, and
+kept as they are by ``keep_known``.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,21 +24,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import chunks, table, thinned
+from quillon.llm.common import Scratch, chunks, table, thinned
 
-#: Parameters. The model is fitted on at most SAMPLE labelled rows, SAMPLE_WORDS words of each.
+#: Parameters. The model is fitted on at most SAMPLE labelled rows, picked by hash; their whole texts are cut into passages of PASSAGE
+#: words, of which it sees at most PASSAGES, picked by hash among all of them.
 SAMPLE = 2000
-SAMPLE_WORDS = 160
+PASSAGE = 80
+PASSAGES = 12_000
 CHAIN = 40
 BUCKETS = 1 << 16
 LONGEST = 4
 STEPS = 320
 MEMO_WORDS = 400_000
 
-TOKENS = re.compile(r"[^\W\d_]+|\n").findall
 UND = "und"
 
 
+def other_numbers() -> str:
+    """Characters that count as alphanumeric but are neither letters nor decimal digits, as ranges of a character class."""
+    points = [c for c in range(sys.maxunicode + 1) if (s := chr(c)).isnumeric() and not s.isalpha() and not s.isdecimal()]
+    starts = [c for c, before in zip(points, [-1, *points]) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -1]) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+TOKENS = re.compile(rf"[^\W\d_{other_numbers()}]+|\n").findall
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all words one after another, where each word's begin)."""
     text = "".join(f"\x02{w}\x03" for w in words)
@@ -204,15 +219,16 @@ def held_out() -> F.Column:
     return F.expr("crc32(cast(doc_id as string)) % 5 = 0")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fitted on a sample picked by hash among the labelled rows that aren't held out."""
+def train(docs: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES, scratch: Scratch | None = None) -> Model | None:
+    """Fitted on passages of rows picked by hash among the labelled ones that aren't held out; None where there is none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            words = [[w for w in TOKENS(t.lower()) if w != "\n"] for t in batch.column("text").to_pylist()]
-            at = [hash_ % max(1, len(w) - SAMPLE_WORDS + 1) for hash_, w in zip(batch.column("h").to_pylist(), words)]
-            cutted = [" ".join(w[a : a + SAMPLE_WORDS]) for a, w in zip(at, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(cutted, pa.string())], ["h", "lang", "words"])
+            out: list[tuple] = []
+            for h, lang, text in zip(*(batch.column(c).to_pylist() for c in ("h", "lang", "text"))):
+                words = [w for w in TOKENS(text.lower()) if w != "\n"]
+                out += [(h, i, lang, " ".join(words[i : i + PASSAGE])) for i in range(0, len(words), PASSAGE)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["h", "place", "lang", "words"])
 
     labelled = docs.where(~held_out()).where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     marked = docs.where(~held_out()).where("lang is not null").select("doc_id")
@@ -220,7 +236,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     picked = few.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # texts of the rows under this hash only are read
     if picked is None:
         return None
-    rows = labelled.where(F.col("h") <= picked).mapInArrow(cut, "h long, lang string, words string").where("words <> ''").orderBy("h", "words").limit(sample).collect()
+    scratch = scratch or Scratch(docs.sparkSession, "language")
+    each = scratch.keep(labelled.where(F.col("h") <= picked).mapInArrow(cut, "h long, place long, lang string, words string"))
+    rows = thinned(each, ["h", "place", "words"], passages, each.count()).orderBy(F.xxhash64("h", "place", "words"), "words", "lang").limit(passages).collect()
+    scratch.drop(each)
     if not rows:
         return None
     model = Model(sorted({r.lang for r in rows}))
@@ -242,15 +261,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more; text without letters goes."""
+def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose words' languages are told: those where the mean, over the words, of the surest label's probability is
+    ``least`` or more, so that a text in several languages stays. Text without letters goes; without a model nothing else does."""
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             if shared.value:
-                _, scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
-                yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
+                keep = [len(g) > 0 and float(g.max(axis=1).mean()) >= least for g in shared.value.label(texts)[0]]
+            else:
+                keep = [any(w != "\n" for w in TOKENS(t.lower())) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

@@ -239,6 +239,63 @@ def test_language_uses_text_only_and_switches(spark, tongues):
     assert language.train(spark.read.parquet(f"{folder}/documents.parquet").where("doc_id > 2000")) is None
 
 
+def plain_language(model, text):
+    """The query's result by plain loops: every feature of every word, every line's chain in logarithms."""
+    mask, weights, move, total, n = (1 << 64) - 1, model.weights.astype(float), model.move.astype(float), np.zeros(len(model.langs)), 0
+
+    def bucket(key):
+        key ^= key >> 29
+        return (key * 0xBF58476D1CE4E5B9 & mask) >> 48
+
+    def emission(word):
+        points = [2, *map(ord, word), 3]
+        out = np.zeros(len(model.langs))
+        for size in range(1, language.LONGEST + 1):
+            for i in range(len(points) - size + 1):
+                h = 0
+                for m in range(1, size + 1):
+                    h = (h * 0x100000001B3 + points[i + m - 1] * 0x9E3779B97F4A7C15 + m) & mask
+                out += weights[bucket(h)]
+        whole = sum(p * pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k, p in enumerate(points)) & mask
+        return out + weights[bucket(whole)]
+
+    for line in (text or "").lower().split("\n"):
+        words = re.findall(r"[^\W\d_]+", line)
+        if not words:
+            continue
+        e = np.array([emission(w) for w in words])
+        f, b = np.zeros_like(e), np.zeros_like(e)
+        f[0] = e[0]
+        for t in range(1, len(e)):
+            f[t] = e[t] + np.logaddexp.reduce(f[t - 1][:, None] + move, axis=0)
+        for t in range(len(e) - 2, -1, -1):
+            b[t] = np.logaddexp.reduce(move + (e[t + 1] + b[t + 1])[None, :], axis=1)
+        p = np.exp(f + b - np.logaddexp.reduce(f[-1]))
+        total, n = total + p.sum(axis=0), n + len(e)
+    return (model.langs[int(total.argmax())], total.max() / n) if n else ("und", 0.0)
+
+
+def test_language_query_equals_plain_loops(spark, tongues):
+    rows, folder = tongues
+    model = language.train(spark.read.parquet(f"{folder}/documents.parquet"))
+    found = got(language.op6_word_crf, spark, folder)
+    for i, text, _ in [r for r in rows if len(r[1] or "") < 300][:80]:
+        lang, score = plain_language(model, text)
+        assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-4, i
+
+
+def test_language_of_numbers_mixtures_and_whole_texts(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30, g), g) for i, g in enumerate(["en", "de", "fr"] * 40)]
+    rows += [(900, "\u00bd \u00b2", None), (901, "\u2167 \u2460 12", "en"), (902, "\n".join(prose(rng, 30, g) for g in ("en", "de", "fr")), None), (903, "!", None)]
+    folder = write_documents(spark, tmp_path, rows)
+    found = got(language.op6_word_crf, spark, folder)
+    assert all((found[i].lang_pred, found[i].score) == ("und", 0.0) for i in (900, 901, 903))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in language.keep_known(docs, language.train(docs)).collect()}
+    assert left == {i for i, _, _ in rows} - {900, 901, 903}
+
+
 def test_marginals_equal_enumeration():
     import itertools
 

@@ -54,3 +54,12 @@ def test_rows_without_id_and_repeated_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
         assert empty.count() == 0
+
+
+def test_a_table_without_labels_keeps_every_text_with_letters(spark, tmp_path):
+    rows = [(i, t, None) for i, t, _ in corpus(4, 20)] + [(500, "\u00bd \u00b2", None)]
+    folder = write_documents(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, folder).collect()}
+    assert left == {i for i, t, _ in rows if any(c.isalpha() for c in t or "")}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} > set()
