@@ -1,18 +1,27 @@
 """Embedding near-dedup by lattice hashing.
 
-In each of TABLES tables a unit vector is projected at random to eight dimensions, scaled, shifted and decoded to the nearest point of
-the E8 lattice, its home cell; it also probes the PROBES neighbouring lattice cells (along minimal vectors) that it lies nearest to.
-Vectors that meet at a home cell are compared by cosine in double precision. With these parameters a pair of cosine 0.9
-meets in at least one table with probability above 0.99, one of 0.95 practically always.
-
-Copies are one class that is hashed once.  A cell with more than BLOCK members is split into blocks that meet pairwise, so no
-group is unbounded and no pair is lost.  Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components link with nothing; repeated rows link with each other; a row without an id has no
-component and is never kept; other columns are ignored.
+In each of several tables a unit vector is projected at random to one or more blocks of eight dimensions, scaled, shifted and decoded
+to the nearest point of the E8 lattice in each block; together these are its home cell. It also probes the PROBES neighbouring cells, one
+block moved along a minimal vector, that it lies nearest to. Vectors that meet at a home cell are compared by cosine in double precision.
+
+Blocks are added as the table grows, so that the random vectors a vector meets stay about CANDIDATES, whatever the size. The number of
+tables is then found by simulation: tables are added until RECALL of random pairs exactly at the threshold meet in one of them (closer
+pairs meet the more). Both depend on the angle only, not on the data.
+
+Copies are one class, hashed once. Only cells where somebody can meet are filled with vectors. A pair of classes counts once, where it
+meets first; of a cell's links only the counts of each class and a spanning forest leave it, never the pairs. A cell with more than BLOCK
+members is split into blocks that meet pairwise, so no group is unbounded and no pair is lost.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths
+don't link, each length is a table of its own; lengths of any magnitude are compared without overflow; a cosine within 1e-9 of the
+threshold is computed again in extended precision and links if it isn't below; repeated rows link with each other, and where an id repeats
+with different vectors each row has its own links; ``kept`` holds for every row whose id names its component; a row without an id links
+with nothing, has no component and isn't kept; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -22,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import Scratch, table
-from quillon.llm.components import connected_components
-from quillon.llm.vectors import matrix, usable
+from quillon.llm.components import connected_components, forest
+from quillon.llm.vectors import by_length, numbered, scaled
 
 COSINE = 0.9
-TABLES = 8
-SCALE = 6.0
+RECALL = 0.98
 PROBES = 6
+CANDIDATES = 64
 BLOCK = 2048
+#: Scales of one, two and more blocks for vectors of 64 dimensions; others are scaled by the root of theirs, as projections shrink so.
+SCALES = (6.0, 4.0, 3.0)
+MOST_TABLES = 512
 
 
 def minimal_vectors() -> np.ndarray:
@@ -59,84 +71,169 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    def __init__(self, dim: int, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, seed: int = 7) -> None:
+    """Random projections to lattice cells; ``tables`` may grow after the fact, the first ones stay the same."""
+
+    def __init__(self, dim: int, blocks: int = 1, tables: int = 8, probes: int = PROBES, seed: int = 7) -> None:
+        self.dim, self.blocks, self.probes, self.seed = dim, blocks, probes, seed
+        self.scale = SCALES[min(blocks, len(SCALES)) - 1] * (max(dim, 8) / 64) ** 0.5
         rng = np.random.default_rng(seed)
-        self.maps = [(np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] * scale, rng.random(8)) for _ in range(tables)]
-        self.near, self.probes = minimal_vectors(), probes
-        self.mix = rng.integers(1, 1 << 62, 8, dtype=np.int64) | 1
-
-    def name(self, points: np.ndarray) -> np.ndarray:
-        """A long for each lattice point. Two points that share one cost a needless comparison only."""
-        h = (np.rint(2 * points).astype(np.int64) * self.mix).sum(axis=-1)
-        return h ^ (h >> 31)
-
-    def cells(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, home cells, probed cells: one row a vector)."""
-        for t, (turn, shift) in enumerate(self.maps):
-            x = unit @ turn + shift
-            home = nearest_e8(x)
-            side = np.argpartition(-((x - home) @ self.near.T), self.probes, axis=1)[:, : self.probes]
-            yield t, self.name(home), self.name(home[:, None] + self.near[side])
-
-
-def links(classes: DataFrame, dim: int, scratch: Scratch, cosine: float = COSINE) -> DataFrame:
-    """(a, b, size_a, size_b), a < b: pairs of classes (id, size, v) found with at least this cosine, each once."""
-
-    def hashed(with_vectors: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = Tables(dim)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    part = whole.slice(at, 1024)
-                    v = matrix(part.column("v"), dim)
-                    unit = v / np.abs(v).max(axis=1, keepdims=True)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    raw = pa.array([x.tobytes() for x in v], pa.binary()) if with_vectors else None
-                    for t, home, probed in tables.cells(unit):
-                        row = np.concatenate([np.arange(len(v)), np.repeat(np.arange(len(v)), probed.shape[1])])
-                        cell = np.concatenate([home, probed.ravel()])
-                        out = {"t": pa.array(np.full(len(row), t, np.int32)), "cell": pa.array(cell), "home": pa.array(np.arange(len(row)) < len(v))}
-                        if with_vectors:
-                            out |= {"id": part.column("id").take(pa.array(row)), "size": part.column("size").take(pa.array(row)), "raw": raw.take(pa.array(row))}
-                        yield pa.RecordBatch.from_pydict(out)
-
-        schema = "t int, cell long, home boolean" + (", id long, size long, raw binary" if with_vectors else "")
-        return classes.mapInArrow(run, schema)
-
-    counted = hashed(False).groupBy("t", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits"))
-    blocks = scratch.keep(counted.where(f"homes > {BLOCK} or visits > {BLOCK} and homes > 0").select("t", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hs"), F.ceil((F.col("homes") + F.col("visits")) / BLOCK).cast("int").alias("vs")))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.coalesce(n, F.lit(1))).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)
-    placed = hashed(True).join(blocks, ["t", "cell"], "left")  # broadcast only while few cells are that full
-    # A home member is compared with every block of visitors, and is a visitor itself.
-    at_home = placed.where("home").select("t", "cell", mine(F.col("hs")).alias("hb"), F.explode(every(F.col("vs"))).alias("vb"), F.lit(True).alias("home"), "id", "size", "raw")
-    visiting = placed.select("t", "cell", F.explode(every(F.col("hs"))).alias("hb"), mine(F.col("vs")).alias("vb"), F.lit(False).alias("home"), "id", "size", "raw")
-    keys = ["t", "cell", "hb", "vb"]
-    met = at_home.union(visiting).repartition(*keys).sortWithinPartitions(*keys)
+        self.near = minimal_vectors()
+        self.mix = rng.integers(1, 1 << 62, (blocks, 8), dtype=np.int64) | 1
+        self.aside = (np.rint(2 * self.near).astype(np.int64) @ self.mix.T).T.ravel()  # what a step in each block adds to a name
+        self.tables = tables
+
+    def table(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng((self.seed, t))
+        turns = [np.linalg.qr(rng.normal(size=(max(self.dim, 8), 8)))[0][: self.dim] for _ in range(self.blocks)]
+        return np.concatenate(turns, axis=1) * self.scale, rng.random(8 * self.blocks)
+
+    def cells(self, unit: np.ndarray, t: int) -> np.ndarray:
+        """Names of the home cell and the probed ones in table t: one row a vector. Two cells that share a name cost needless comparisons only."""
+        turn, shift = self.table(t)
+        x = unit @ turn + shift
+        name, gain = np.zeros(len(x), np.int64), []
+        for b in range(self.blocks):
+            part = x[:, 8 * b : 8 * b + 8]
+            home = nearest_e8(part)
+            name += np.rint(2 * home).astype(np.int64) @ self.mix[b]
+            gain.append((part - home) @ self.near.T)
+        side = np.argpartition(-np.concatenate(gain, axis=1), self.probes, axis=1)[:, : self.probes]
+        return np.concatenate([name[:, None], name[:, None] + self.aside[side]], axis=1)
+
+    def every(self, unit: np.ndarray) -> np.ndarray:
+        return np.stack([self.cells(unit, t) for t in range(self.tables)], axis=1)
+
+
+def fitting(dim: int, n: int, cosine: float = COSINE, recall: float = RECALL, candidates: int = CANDIDATES, trials: int = 1500) -> Tables:
+    """Blocks by the number of vectors, tables by simulated pairs at the threshold."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x, y = unit(rng.normal(size=(trials, dim))), rng.normal(size=(trials, dim))
+    if dim > 1:
+        y = unit(y - (x * y).sum(axis=1)[:, None] * x)
+    near = cosine * x + (1 - cosine * cosine) ** 0.5 * y if dim > 1 else x
+    blocks = 0
+    while True:
+        blocks += 1
+        one = Tables(dim, 1)
+        one.scale = SCALES[min(blocks, len(SCALES)) - 1] * (max(dim, 8) / 64) ** 0.5
+        _, sizes = np.unique(one.cells(unit(rng.normal(size=(4 * trials, dim))), 0)[:, 0], return_counts=True)
+        chance = max(1e-6, float((sizes * (sizes - 1.0)).sum()) / (4 * trials) ** 2) ** blocks
+        made, apart, t = Tables(dim, blocks), np.ones(trials, bool), 0
+        while apart.mean() > 1 - recall and t < MOST_TABLES:
+            a, b = made.cells(x[apart], t), made.cells(near[apart], t)
+            apart[np.flatnonzero(apart)] = ~((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1))
+            t += 1
+        if blocks > 1 and t == MOST_TABLES:  # no finer cells can be had at this recall
+            return before
+        made.tables = t
+        if n * chance * t * (1 + 2 * PROBES) <= candidates or blocks > dim // 8:
+            return made
+        before = made
+
+
+def at_least(a: np.ndarray, b: np.ndarray, cos: np.ndarray, cosine: float) -> np.ndarray:
+    """cos >= cosine for rows of a and b; close ones are computed again in extended precision."""
+    out = cos >= cosine
+    close = np.flatnonzero(np.abs(cos - cosine) < 1e-9)
+    for at in range(0, len(close), 4096):
+        some = close[at : at + 4096]
+        x, y = a[some].astype(np.longdouble), b[some].astype(np.longdouble)
+        out[some] = ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).astype(np.float64) >= cosine
+    return out
+
+
+def meetings(cells: np.ndarray, i: np.ndarray, j: np.ndarray, tables: int) -> np.ndarray:
+    """Whether rows i and j of the cells (row, table, home and probes) meet in one of the first ``tables`` tables."""
+    out = np.zeros(len(i), bool)
+    for t in range(tables):
+        some = np.flatnonzero(~out)
+        a, b = cells[i[some], t], cells[j[some], t]
+        out[some] = (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+    return out
+
+
+def compared(ids: np.ndarray, home: np.ndarray, v: np.ndarray, cells: np.ndarray, t: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block of a cell in table t: pairs (row at home, visiting row) that link and meet nowhere before."""
+    unit = scaled(v)
+    norm = np.linalg.norm(unit, axis=1)
+    at_home, visiting = np.flatnonzero(home), np.flatnonzero(~home)
+    ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 20) // max(1, len(visiting)))
+    for low in range(0, len(at_home), step):
+        own = at_home[low : low + step]
+        cos = (unit[own] @ unit[visiting].T) / (norm[own][:, None] * norm[visiting][None, :])
+        x, y = np.nonzero(cos >= cosine - 1e-9)
+        i, j = own[x], visiting[y]
+        ok = (ids[i] != ids[j]) & at_least(unit[i], unit[j], cos[x, y], cosine)
+        i, j = i[ok], j[ok]
+        # Both at home here, or each visiting the other's home: the one of the smaller number counts it.
+        mutual = (cells[i, t, 0] == cells[j, t, 0]) | (cells[i, t] == cells[j, t, :1]).any(axis=1)
+        ok = (~mutual | (ids[i] < ids[j])) & ~meetings(cells, i, j, t)
+        ii.append(i[ok])
+        jj.append(j[ok])
+    return np.concatenate(ii), np.concatenate(jj)
+
+
+def links(classes: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFrame:
+    """(u, v, n) of classes (cls, size, v: array<double>): counts have v null and n, the rows that u's rows link with in one cell;
+    links have n null, and are as many as connect what links connect."""
+    found = {r.d: fitting(r.d, r.n, cosine) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                for dim, part, v in by_length(whole.slice(at, 1024)):
+                    unit = scaled(v)
+                    cells = found[dim].every(unit / np.linalg.norm(unit, axis=1)[:, None])
+                    flat = cells.reshape(len(v), -1)
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("size"), pa.array(np.full(len(v), dim, np.int32)), pa.array([x.tobytes() for x in v], pa.binary()), listed], ["cls", "size", "d", "raw", "cells"])
+
+    placed = scratch.keep(classes.select("cls", "size", "v").mapInArrow(hashed, "cls long, size long, d int, raw binary, cells array<long>"))
+    wide = 1 + PROBES
+    spread = placed.select("cls", "d", F.posexplode("cells").alias("at", "cell")).select("cls", "d", F.expr(f"at div {wide}").cast("int").alias("t"), "cell", (F.col("at") % wide == 0).alias("home"))
+    counted = spread.groupBy("d", "t", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1")
+    met = scratch.keep(counted.select("d", "t", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("vs")))
+    inside = spread.join(met, ["d", "t", "cell"])
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # A home member meets every block of visitors, and is a visitor itself.
+    at_home = inside.where("home").select("cls", "d", "t", "cell", mine("hs").alias("hb"), every("vs").alias("vb"), F.lit(True).alias("home"))
+    visiting = inside.select("cls", "d", "t", "cell", every("hs").alias("hb"), mine("vs").alias("vb"), F.lit(False).alias("home"))
+    keys = ["d", "t", "cell", "hb", "vb"]
+    members = scratch.keep(at_home.union(visiting))
+    brought = members.join(placed.select("cls", "size", "raw", "cells"), "cls").select(*keys, "home", "cls", "size", "raw", "cells")
+    dealt = brought.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(part: pa.Table) -> pa.RecordBatch | None:
+        def linked(part: pa.Table) -> pa.RecordBatch:
             key = [part.column(k).to_numpy() for k in keys]
             edge = np.flatnonzero(np.any([np.diff(k, prepend=k[:1] - 1) != 0 for k in key], axis=0))
-            home, ids, sizes = part.column("home").to_numpy(), part.column("id").to_numpy(), part.column("size").to_numpy()
-            raws, found = part.column("raw"), []
+            home, ids, sizes = part.column("home").to_numpy(), part.column("cls").to_numpy(), part.column("size").to_numpy()
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             homes = np.add.reduceat(home.astype(np.int64), edge)
-            for low, high, n in zip(edge, np.append(edge[1:], len(ids)), homes):
-                if n == 0 or high - low - n < 2:  # nobody but the member itself
+            for low, high, n in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], homes.tolist()):
+                own = ids[low:high]
+                if n == 0 or n == high - low or high - low == 2 and own[0] == own[1]:
                     continue
-                v = np.frombuffer(b"".join(raws.slice(low, high - low).to_pylist()), np.float64).reshape(high - low, dim)
-                norm = np.linalg.norm(v, axis=1)
-                h = home[low:high]
-                cos = (v[h] @ v[~h].T) / (norm[h][:, None] * norm[~h][None, :])
-                i, j = np.nonzero(cos >= cosine)
-                i, j = low + np.flatnonzero(h)[i], low + np.flatnonzero(~h)[j]
-                i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-                a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-                found.append(np.stack([ids[a], ids[b], sizes[a], sizes[b]]))
-            if not found:
-                return None
-            rows = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["a", "b", "size_a", "size_b"])
+                group = part.slice(low, high - low)
+                dim, t = int(key[0][low]), int(key[1][low])
+                v = np.frombuffer(b"".join(group.column("raw").to_pylist()), np.float64).reshape(-1, dim)
+                cells = group.column("cells").combine_chunks()
+                cells = (cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells).flatten().to_numpy().reshape(len(v), -1, wide)
+                size = sizes[low:high]
+                i, j = compared(own, home[low:high], v, cells, t, cosine)
+                if len(i):
+                    names, code = np.unique(own, return_inverse=True)
+                    each = np.bincount(code[i], size[j], len(names)) + np.bincount(code[j], size[i], len(names))
+                    some = each > 0
+                    node, root = forest(own[i], own[j])
+                    far = node != root
+                    out.append((names[some], np.full(some.sum(), -1), each[some].astype(np.int64)))
+                    out.append((node[far], root[far], np.zeros(far.sum(), np.int64)))
+            columns = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "n"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -146,30 +243,38 @@ def links(classes: DataFrame, dim: int, scratch: Scratch, cosine: float = COSINE
             same = np.all([k == k[-1] for k in last], axis=0)
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                if (out := pairs(held.slice(0, cut).combine_chunks())) is not None:
-                    yield out
+                yield linked(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
-        if held is not None and held.num_rows and (out := pairs(held.combine_chunks())) is not None:
-            yield out
+        if held is not None and held.num_rows:
+            yield linked(held.combine_chunks())
 
-    return met.mapInArrow(compare, "a long, b long, size_a long, size_b long").distinct()
+    return dealt.mapInArrow(compare, "u long, v long, n long")
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE, scratch: Scratch | None = None) -> DataFrame:
     """key, n_links, component_id, kept for every row."""
     scratch = scratch or Scratch(rows.sparkSession, "lattice")
-    good, dim = usable(rows, key, column)
-    good = scratch.keep(good)
-    classes = scratch.keep(good.groupBy("v").agg(F.min(key).alias("id"), F.count("*").alias("size")))
-    found = scratch.keep(links(classes, dim, scratch, cosine))
-    degree = found.select(F.col("a").alias("id"), F.col("size_b").alias("n")).union(found.select("b", "size_a")).groupBy("id").agg(F.sum("n").alias("others"))
-    roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    named = classes.join(scratch.keep(degree), "id", "left").join(scratch.keep(roots.withColumnRenamed("node", "id")), "id", "left")
-    named = scratch.keep(named.select("v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
-    linked = scratch.keep(good.join(named, "v").select(key, "n_links", "component_id").groupBy(key).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")))
-    own = rows.select(F.col(key).cast("long").alias(key))
-    out = own.join(linked, key, "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", key).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    every = numbered(rows, key, column, scratch)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            at, flat = v.offsets.to_numpy(), v.values.to_numpy() + 0.0  # zeros have one sign
+            names = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), v, pa.array(names, pa.binary())], ["row", "key", "v", "name"])
+
+    good = scratch.keep(every.where("v is not null").mapInArrow(named, "row long, key long, v array<double>, name binary"))
+    classes = scratch.keep(good.groupBy("name").agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.count("*").alias("size"), F.first("v").alias("v")))
+    found = scratch.keep(links(classes, scratch, cosine))
+    degree = scratch.keep(found.where("n > 0").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("others")))
+    roots = scratch.keep(connected_components(found.where("v >= 0").select("u", "v"), scratch).withColumnRenamed("node", "cls"))
+    rooted = scratch.keep(classes.select("name", "cls", "least", "size").join(degree, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    least = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_class = scratch.keep(rooted.join(least, "root").select("name", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"))
+    linked = scratch.keep(good.select("row", "key", "name").join(of_class, "name").select(F.col("key").alias(key), "n_links", "component_id"))
+    alone = every.where("v is null").select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    scratch.drop(good, classes, found, degree, roots, rooted, least, of_class)
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
 def op3_lattice_hashing(spark, sf_dir: str) -> DataFrame:
