@@ -1,19 +1,25 @@
 """Personal data by fixed patterns and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns (base spans) label a bounded sample of windows, from which the tagger is trained in numpy.  It reads the
-surroundings of every digit and every ``@`` of a text: a span of any kind holds one, so nothing else can become a span,
-whatever its length.  Those regions are cut into overlapping windows; the scores of a character are averaged over its windows,
-more the nearer it is to their middle, and one best path is decoded for the whole region.  Base spans stay; spans of the
-tagger that are plausible for their kind and overlap no base span are added.
-
-Defined results: null text counts as empty and has no spans; base_sha256 is then that of the empty string; repeated rows are
-read each on its own; without any base span in the table nothing is learnt and nothing added; other columns are kept by
-``mask`` and ignored otherwise.
+The patterns (base spans) label windows of a bounded sample of rows.  Besides these windows as they are, the tagger is trained, in
+numpy, on respelled ones: the same spans written so that no pattern finds them (``ann (at) mail dot com``, ``10[.]1[.]2[.]3``, cards in
+groups with dots or slashes, phones without a plus), labelled as before.  So it learns to find what the patterns can't.
+
+Whole texts are read. A span holds a digit, an ``@``, a spelled dot or a bracketed sign and never a line break, and lies within MARGIN characters of
+one; characters with none near are outside any span. What remains are regions, cut into overlapping windows; the scores of a
+character are averaged over its windows, more the nearer it is to their middle, and one best path is decoded for the whole text: the
+characters outside being fixed, it is the best path of each region that begins and ends outside a span.  Base spans stay; spans of the
+tagger that are plausible for their kind and overlap no base span are added, and where two of them begin alike there is only one, as a path has one tag a character.
+
+Defined results: null and empty text have no spans; base_sha256 is then that of the empty string; a number that two kinds claim
+is a base span of both, in order of start, then kind; ties between paths go to the first tag; repeated rows are read each on its own; an
+empty table gives no rows; very long texts are read whole, in time that grows with their length; without any base span in the table
+nothing is learnt and nothing added; other columns are kept by ``mask`` and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +29,15 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import Scratch, chunks, table, thinned
 
-#: Parameters: the sample that the tagger is fitted on, its size, and the windows.
-SAMPLE = 1500
-HIDDEN = 16
+#: Parameters: windows come from at most about SAMPLE_ROWS rows, picked by hash; of these the tagger is fitted on at most SAMPLE around base
+#: spans and as many around other digits and signs, picked by hash; its size, the windows, and the steps of training.
+SAMPLE_ROWS = 30_000
+SAMPLE = 1200
+HIDDEN = 20
 WIDTH = 64
 STRIDE = 32
 MARGIN = 32
-STEPS = 220
+STEPS = 420
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
@@ -39,8 +47,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)").finditer  # every match starts where a run of digits does
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+").finditer
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|(?<=[A-Za-z0-9])(?: dot |\x20?[\[(](?:at|dot|\.)[\])])(?=\x20?[A-Za-z0-9])")
+SIGN = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[0-9]").findall
+#: How signs are respelled; spans of the tagger are read back by these before they are judged.
+AT = re.compile(r"\x20?[\[(](?:at|@)[\])]\x20?|\x20at\x20|\x20?@\x20?")
+DOT = re.compile(r"\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20|\x20?\.\x20?")
+#: Numbers in groups and spelled signs: beside base spans they may be anything, so training takes them for neither data nor none.
+DOUBTFUL = re.compile(r"[+(]?[0-9](?:[\x20().+/_-]{0,3}[0-9]){8,}|[0-9]+(?:\x20?(?:[\[(]?\.[\])]?|[\[(]?dot[\])]?)\x20?[0-9]+){3}|\x20?[\[(](?:at|dot|\.)[\])]|\x20dot\x20|@")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}").fullmatch
 
 
 def luhn(digits: list[str]) -> bool:
@@ -66,7 +81,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), in order."""
-    if not TRIGGER.search(text):
+    if not SIGN.search(text):
         return []
     found = [(s, 0, e) for s, e in emails(text)]
     found += [(m.start(), 1, m.end()) for m in IP(text) if all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in m.group().split("."))]
@@ -189,25 +204,25 @@ class Tagger:
         return losses
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """The best path through each region's scores; regions of like length go together."""
+        """The best path through each region's scores that comes from outside a span and ends there; regions of like length go together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
         order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
         while order:
             longest = len(scores[order[0]])
             group, order = order[: max(1, 500_000 // longest)], order[max(1, 500_000 // longest) :]
             sizes = np.array([len(scores[i]) for i in group])
-            best, back = np.zeros((len(group), TAGS)), np.zeros((longest, len(group), TAGS), np.int8)
+            back = np.zeros((longest, len(group), TAGS), np.int8)
             e = np.zeros((longest, len(group), TAGS), np.float32)
             for j, i in enumerate(group):
                 e[: sizes[j], j] = scores[i]
-            best = e[0].astype(np.float64)
+            best = e[0].astype(np.float64) + self.p["move"][0]
             for t in range(1, longest):
                 live = int(np.searchsorted(-sizes, -t))  # those longer than t come first
                 ways = best[:live, :, None] + self.p["move"]
                 back[t, :live] = ways.argmax(axis=1)
                 best[:live] = ways.max(axis=1) + e[t, :live]
             for j, i in enumerate(group):
-                tag, path = int(best[j].argmax()), np.zeros(sizes[j], np.int64)
+                tag, path = int((best[j] + self.p["move"][:, 0]).argmax()), np.zeros(sizes[j], np.int64)
                 for t in range(sizes[j] - 1, -1, -1):
                     path[t] = tag
                     tag = int(back[t, j, tag])
@@ -216,11 +231,16 @@ class Tagger:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches of lines with a trigger within MARGIN characters."""
     found: list[tuple[int, int]] = []
+    line = end = 0  # the line that was looked at last
     for m in TRIGGER.finditer(text):
-        low, high = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if found and low <= found[-1][1]:
-            found[-1] = (found[-1][0], high)
+        if m.start() >= end:
+            line, end = text.rfind("\n", end, m.start()) + 1, text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+        low, high = max(line, m.start() - MARGIN), min(end, m.end() + MARGIN)
+        if found and low <= found[-1][1] and found[-1][1] > line:
+            found[-1] = (found[-1][0], max(high, found[-1][1]))
         else:
             found.append((low, high))
     return found
@@ -248,72 +268,155 @@ def scores_of(tagger: Tagger, parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def plausible(kind: int, found: str) -> bool:
-    digits = len(DIGIT(found))
+    """Whether what the tagger found can be of this kind, once respelled signs are read back."""
+    if found[0] == " " or found[-1] == " ":
+        return False
+    digits = DIGIT(found)
     if kind == 0:
-        return "@" in found[1:-1] and "." in found.rpartition("@")[2] and len(found) >= 6
+        return ADDRESS(DOT.sub(".", AT.sub("@", found, count=1))) is not None
     if kind == 1:
-        return found.count(".") == 3 and digits >= 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in found.split("."))
+        parts = DOT.sub(".", found).split(".")
+        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
     if kind == 2:
-        d = DIGIT(found)
-        return 12 <= digits <= 19 and luhn(d) and set(found) <= set("0123456789 -.")
-    return 9 <= digits <= 15 and found[0] in "+(0123456789" and found[-1].isdigit() and set(found) <= set("0123456789 ().-+/") and len(set(found) & set(" ().-+/")) > 0
+        return 12 <= len(digits) <= 19 and luhn(digits) and set(found) <= set("0123456789 -./_") and found[0].isdigit() and found[-1].isdigit()
+    if found.count(".") == 3 and max(map(len, found.split("."))) <= 3:
+        return False  # a dotted quad that is no address is no phone either
+    return 9 <= len(digits) <= 15 and found[0] in "+(0123456789" and found[-1].isdigit() and set(found) <= set("0123456789 ().-+/") and len(set(found) & set(" ().-+/")) > 0
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether a span is cut out of no longer word or number."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
 
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     where = [(i, low, high) for i, t in enumerate(texts) for low, high in regions(t)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    taken = [merged(b) for b in bases]
+    starts = [[s for s, _ in t] for t in taken]
     paths = tagger.decode(scores_of(tagger, [codes(texts[i][low:high]) for i, low, high in where]))
     for (i, low, _), path in zip(where, paths):
-        edge = np.flatnonzero(np.diff(path, prepend=0, append=0) != 0)
-        at = 0
-        while at < len(edge):
-            start, tag = int(edge[at]), int(path[edge[at]]) if edge[at] < len(path) else 0
-            at += 1
-            if tag % 2 == 0:
-                continue
-            end = start + 1
-            while end < len(path) and path[end] == tag + 1:
-                end += 1
-            kind, s, e = (tag - 1) // 2, low + start, low + end
-            if plausible(kind, texts[i][s:e]) and all(e <= b[0] or b[2] <= s for b in bases[i]):
+        begin = np.flatnonzero(path % 2 == 1)
+        if not len(begin):
+            continue
+        # A span lasts while the tag that continues its first one does.
+        last = np.append(np.flatnonzero(path[1:] != path[:-1] + path[:-1] % 2) + 1, len(path))
+        ends = last[np.searchsorted(last, begin, "right")]
+        for first, end in zip(begin.tolist(), ends.tolist()):
+            kind, s, e = (int(path[first]) - 1) // 2, low + first, low + end
+            at = bisect_left(starts[i], e)  # merged base spans that begin before the end; the last of them ends last
+            if (not at or taken[i][at - 1][1] <= s) and plausible(kind, texts[i][s:e]) and whole_words(texts[i], s, e):
                 out[i].append((s, kind, e))
     return out
 
 
-def sample_windows(docs: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``bound`` labelled windows, picked by hash over the whole table: around base spans, and as many around other digits and signs."""
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What sorted spans cover, as stretches that don't touch."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def respelled(kind: int, span: str, rng: np.random.Generator) -> str:
+    """Data of the same kind as people write it to escape patterns, or carelessly; names, domains and grouping vary, so that the shape is learnt and not the few in the table."""
+    pick = lambda *ways: ways[int(rng.integers(len(ways)))]
+    if kind == 0:
+        local, _, domain = span.partition("@")
+        words = [w for w in re.split(r"[^A-Za-z]+", local + "." + domain) if len(w) > 1] or ["name"]
+        again = lambda w: "".join(rng.permutation(list(w)))[: int(rng.integers(2, 9))]
+        local = pick(local, again(pick(*words)), again(pick(*words)) + pick(".", "_", "-", "") + again(pick(*words)), again(pick(*words)) + str(int(rng.integers(1, 100))))
+        domain = pick(domain, ".".join(domain.split(".")[-2:]), again(pick(*words)) + "." + pick("com", "org", "net", "edu", again("abcdefghiklmnoprstu")[:2]))
+        mixed = pick("@", " @ ", "(at)", "[at]", " (at) ", " [at] "), pick(".", "(dot)", "[dot]", "[.]", " (dot) ", " [dot] ", " . ")
+        at, dot = pick((" at ", " dot "), (" at ", " dot "), ("@", " dot "), ("(at)", "."), (" (at) ", " dot "), mixed, mixed)
+        at = at if at != "@" or dot != "." else " (at) "
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", pick(" . ", "[.]", "(.)", " dot ", "[dot]", " [.] "))
+    digits = "".join(DIGIT(span))
+    if kind == 2:
+        size, sep = pick(4, 4, 4, 5, 6), pick(".", "/", "  ", " - ", "_", " / ", "--")
+        return sep.join(digits[i : i + size] for i in range(0, len(digits), size))
+    drawn = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    country, sep = str(int(rng.integers(1, 100))), pick(" ", "-", ".", "/")
+    lead = pick("", "", "00" + country + sep, country + sep, "0")
+    area, rest = drawn(pick(3, 3, 2, 4)), [drawn(n) for n in pick((3, 4), (3, 4), (4, 3), (3, 3), (2, 2, 3))]
+    return lead + pick(f"({area}) ", area + sep, f"({area})") + pick("-", sep).join(rest)
+
+
+def altered(piece: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """A labelled window with its whole spans respelled, cut or kept at WIDTH characters."""
+    text, labels, at = "", [], 0
+    while at < len(piece):
+        end = at + 1
+        if tags[at] % 2 == 1:
+            while end < len(piece) and tags[end] == tags[at] + 1:
+                end += 1
+        part = piece[at:end]
+        whole = tags[at] % 2 == 1 and 0 < at and end < len(piece)
+        part = respelled((int(tags[at]) - 1) // 2, part, rng) if whole else part
+        text += part
+        labels += [int(tags[at])] + [int(tags[at]) + (tags[at] % 2 == 1)] * (len(part) - 1)
+        at = end
+    cut = max(0, (len(text) - WIDTH) // 2)
+    text, out = text[cut : cut + WIDTH], np.zeros(WIDTH, np.int64)
+    out[: len(text)] = labels[cut : cut + WIDTH]
+    return text, out
+
+
+def sample_windows(docs: DataFrame, bound: int = SAMPLE, rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> list[tuple[str, np.ndarray]]:
+    """Labelled windows of a sample of rows: at most ``bound`` around base spans and ``bound`` around other digits and signs, save doubtful ones, each picked by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            rows: dict[str, list] = {"key": [], "piece": [], "tags": []}
+            out: dict[str, list] = {"key": [], "labelled": [], "piece": [], "tags": []}
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                taken = {s: e for s, _, e in spans}
-                others = [m.start() for m in TRIGGER.finditer(text) if not any(s <= m.start() < e for s, e in taken.items())][:8]
-                for centre in [*sorted(taken)[:16], *others[:4]]:
+                held = merged(sorted(spans + [(m.start(), 0, m.end()) for m in DOUBTFUL.finditer(text) if not m.group().isdigit()]))
+                centres, at = [(s, True) for s in sorted({s for s, _, _ in spans})], 0
+                for m in TRIGGER.finditer(text):
+                    while at < len(held) and held[at][1] <= m.start():
+                        at += 1
+                    if at == len(held) or m.start() < held[at][0]:
+                        centres.append((m.start(), False))
+                starts, most = [s for s, _, _ in spans], max((e - s for s, _, e in spans), default=0)
+                for centre, labelled in centres:
                     low = max(0, centre - WIDTH // 2 + centre % 16)
                     piece, tags = text[low : low + WIDTH], bytearray(WIDTH)
-                    for s, kind, e in spans:
+                    for s, kind, e in spans[bisect_left(starts, low - most) : bisect_left(starts, low + WIDTH)]:
                         for p in range(max(s, low), min(e, low + len(piece))):
                             tags[p - low] = 1 + 2 * kind + (p > s)
-                    rows["key"].append(len(text) * 7919 + centre)
-                    rows["piece"].append(piece)
-                    rows["tags"].append(bytes(tags))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["key"], pa.int64()), pa.array(rows["piece"], pa.string()), pa.array(rows["tags"], pa.binary())], list(rows))
-
-    each = Scratch(docs.sparkSession, "pii").keep(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, piece string, tags binary"))
-    picked = thinned(each, ["key", "piece"], bound, each.count()).orderBy(F.xxhash64("key", "piece"), "piece").limit(bound).collect()
-    x, y = np.full((len(picked), WIDTH), PAD), np.zeros((len(picked), WIDTH), np.int64)
-    for i, r in enumerate(picked):
-        c = codes(r.piece)
+                    out["key"].append(len(text) * 7919 + centre)
+                    out["labelled"].append(labelled)
+                    out["piece"].append(piece)
+                    out["tags"].append(bytes(tags))
+            yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["labelled"], pa.bool_()), pa.array(out["piece"], pa.string()), pa.array(out["tags"], pa.binary())], list(out))
+
+    scratch = scratch or Scratch(docs.sparkSession, "pii")
+    chosen = docs.select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    few = thinned(chosen, [], rows // 4, docs.count(), F.col("h")).select("text")
+    each = scratch.keep(few.mapInArrow(run, "key long, labelled boolean, piece string, tags binary"))
+    found = {r.labelled: r.n for r in each.groupBy("labelled").agg(F.count("*").alias("n")).collect()}
+    picked = []
+    for labelled, n in sorted(found.items()):
+        picked += thinned(each.where(F.col("labelled") == labelled), ["key", "piece"], bound, n).orderBy(F.xxhash64("key", "piece"), "piece").limit(bound).collect()
+    scratch.drop(each)
+    return [(r.piece, np.frombuffer(bytes(r.tags), np.uint8).astype(np.int64)) for r in picked]
+
+
+def train(docs: DataFrame, bound: int = SAMPLE, steps: int = STEPS, seed: int = 0) -> Tagger | None:
+    """Fitted on the sampled windows, and on each labelled one respelled three times; None where the sample has no base span."""
+    windows, rng = sample_windows(docs, bound), np.random.default_rng(seed)
+    windows += [altered(piece, tags, rng) for piece, tags in windows if (tags > 0).any() for _ in range(3)]
+    x, y = np.full((len(windows), WIDTH), PAD), np.zeros((len(windows), WIDTH), np.int64)
+    for i, (piece, tags) in enumerate(windows):
+        c = codes(piece)
         x[i, : len(c)] = c
-        y[i] = np.frombuffer(bytes(r.tags), np.uint8)
-    return x, y
-
-
-def train(docs: DataFrame, bound: int = SAMPLE, steps: int = STEPS) -> Tagger | None:
-    x, y = sample_windows(docs, bound)
+        y[i, : len(c)] = tags[: len(c)]
     if not (y > 0).any():
         return None
     tagger = Tagger()
