@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,9 +32,11 @@ class Scratch:
     """Written intermediate tables in the shared folder.
 
     ``keep`` cuts the lineage, so that a lost executor costs one step and no step is computed twice.
-    Shuffle files of the steps before are released by the JVM's own cleaner after a collection.
+    Shuffle files are deleted once a step is written.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,8 +45,12 @@ class Scratch:
     def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            (df.coalesce(partitions) if partitions else df).write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before) if before is not None else self.spark.conf.unset(self.CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quillon_path = path
         return out
@@ -72,9 +78,9 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
-def thinned(df: DataFrame, by: list[str], wanted: int, total: int) -> DataFrame:
-    """Of ``total`` rows those under a bound of their hash that leaves about four times as many as wanted, all if they are few.
+def thinned(df: DataFrame, by: list[str], wanted: int, total: int, key: Column | None = None) -> DataFrame:
+    """Of ``total`` rows those under a bound of their hash (of ``by``, or ``key`` itself) that leaves about four times as many as wanted, all if they are few.
     Sorting what is left and taking the first then brings the driver a number of rows that doesn't grow with the partitions."""
     if total <= 8 * wanted:
         return df
-    return df.where(F.xxhash64(*by) <= int(-(1 << 63) + 4 * wanted / total * (1 << 64)))
+    return df.where((F.xxhash64(*by) if key is None else key) <= int(-(1 << 63) + 4 * wanted / total * (1 << 64)))
