@@ -487,6 +487,51 @@ def test_secrets_query(spark, tmp_path):
     assert all("random" not in found[i].spans for i in found if i != 0)
 
 
+def test_battery_adds_keys_that_no_pattern_finds(spark, tmp_path):
+    """Through the query: keys of every encoding without a telling name, beside paths, names and words as long."""
+    rng = random.Random(6)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    rows, truth = [], {}
+    for i in range(160):
+        key, whole = [
+            (draw(upper + lower + digits + "+/", 44), True), (draw(upper + lower + digits + "-_", 48), True), (draw(upper + lower + digits, 40), True),
+            (draw(upper + digits, 50), True), (draw(upper + "234567", 52), True), (draw("0123456789ABCDEF", 64), True),
+            ("sk_live_" + draw(upper + lower + digits, 20) + "/+" + draw(upper + lower + digits, 30), False), (draw(upper + lower, 60), True),
+        ][i % 8]
+        left = prose(rng, 10) + " "
+        rows.append((i, left + key + " " + prose(rng, 10), "en"))
+        truth[i] = (len(left), len(left) + len(key), whole)
+    for i in range(200, 320):
+        odd = rng.choice(["getUserNameFromDatabaseConnection2", "src/main/java/org/example/module1/Handler", "the-long-name-of-a-thing-that-is-7-words", "AVERYLONGCONSTANTNAMEOFTHEPROGRAM", "internationalizationofeverything2", "Donaudampfschifffahrtsgesellschaft", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "12345678901234567890"])
+        rows.append((i, prose(rng, 10) + " " + odd + " " + prose(rng, 10), "en"))
+    found = got(secrets.op9_randomness_battery, spark, write_documents(spark, tmp_path, rows))
+    hit, wrong, total = 0, 0, 0
+    for i, text, _ in rows:
+        base = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in plain_secrets(text)]
+        added = [x for x in found[i].spans.split(",") if x and x not in base]
+        total += len(added)
+        if i in truth:
+            start, end, whole = truth[i]
+            good = [x for x in added if (s := int(x.split(":")[1])) >= start and int(x.split(":")[2]) <= end and (not whole or (s, int(x.split(":")[2])) == (start, end))]
+            hit += bool(good)
+            wrong += len(added) - len(good)
+        else:
+            wrong += len(added)
+    assert hit >= 0.75 * len(truth) and wrong <= 0.03 * total, (hit, wrong, total)
+
+
+def test_secrets_of_one_long_text_take_linear_time():
+    import time
+
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("0123456789abcdefABCDEFghijk") for _ in range(n))
+    for text in (" ".join(f"token={draw(20)} {draw(24)}" for _ in range(20_000)), draw(1_000_000), "token" + " " * 500_000 + "token" * 100_000):
+        began = time.time()
+        assert secrets.base_spans(text) == plain_secrets(text)
+        assert all(secrets.battery(text[a:b]) is None or True for a, b in secrets.candidates(text)) and time.time() - began < 30
+
+
 def test_battery_tells_random_from_writing():
     rng = random.Random(2)
     draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
