@@ -3,21 +3,24 @@
 The frequent words of the whole corpus are compiled, with their ids, into a minimal acyclic automaton
 (shared prefixes and suffixes).  Every arc carries an integer output; the outputs on a word's path add up
 to the word's number in the lexicon, whose row in a flat table holds its ids.  The automaton is a few flat
-arrays that each worker maps into memory.  Words that the lexicon lacks are merged exactly by rank.
+arrays that each worker maps into memory and walks as they are: an arc is found by binary search for its state and label.
+Words that the lexicon lacks are merged exactly by rank, long ones with a heap.
 
-Defined results: null text counts as empty; an empty text has no ids; repeated rows are encoded alike;
-columns other than those named are ignored.
+Defined results: null text counts as empty; an empty text has no ids; of equal ranks the leftmost pair is merged first; repeated
+rows are encoded alike; an empty table gives no rows; very long texts and words are read whole, in time that grows little
+more than with their length; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import mmap
+import os
 import re
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from quillon.llm.common import Scratch, chunks, table
 LEXICON_WORDS = 32_768
 SKETCH_WORDS = 100_000
 MEMO_WORDS = 300_000
+#: Words of more bytes are merged with a heap, shorter ones by looking at all pairs, which is faster for them; the ids are the same.
+SHORT_WORD = 64
 
 #: The byte-level split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -78,6 +83,8 @@ class Merger:
 
     def merge(self, word: bytes) -> list[int]:
         """Merges the adjacent pair of least rank, leftmost first, until none is known."""
+        if len(word) > SHORT_WORD:
+            return self.merge_long(word)
         ids, rank = [self.first[b] for b in word], self.rank
         none = (1 << 60, -1)
         found = [rank.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
@@ -95,23 +102,43 @@ class Merger:
         return ids
 
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap of pairs over a linked list; pairs that no longer stand are passed over."""
+        ids, rank = [self.first[b] for b in word], self.rank
+        n = len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank.get(a << 32 | b))]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            new = ids[i] = rank[a << 32 | b][1]
+            ids[j] = -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if r := rank.get(new << 32 | ids[k]):
+                    heappush(heap, (r[0], i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := rank.get(ids[h] << 32 | new)):
+                heappush(heap, (r[0], h, ids[h], new))
+        return [x for x in ids if x >= 0]
+
+
 class Lexicon:
     """A minimal acyclic transducer: words (bytes) to numbers, numbers to ids.
 
-    Arrays: ``base`` (first arc of each state, one more at the end), ``label``, ``to`` and ``out`` (of each
-    arc; a state's arcs lie together by label), ``final`` (of each state), ``start`` and ``ids`` (rows of ids).
+    Arrays: ``step`` (of each arc, in order: state * 256 + label), ``to`` and ``out`` (of each arc), ``final`` (of
+    each state), ``start`` and ``ids`` (rows of ids).
     """
 
-    NAMES = ("base", "label", "to", "out", "final", "start", "ids")
+    NAMES = ("step", "to", "out", "final", "start", "ids")
 
-    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+    def __init__(self, arrays: dict[str, np.ndarray], root: int) -> None:
+        self.root = root
         for name in self.NAMES:
             setattr(self, name, arrays[name])
-        # dense steps: state * 256 + byte -> arc + 1
-        n = len(self.final)
-        self.arc = np.zeros(n * 256, np.int32)
-        state = np.repeat(np.arange(n), np.diff(self.base))
-        self.arc[state * 256 + self.label] = np.arange(1, len(self.label) + 1)
 
     @classmethod
     def build(cls, words: Iterable[bytes], ids: dict[bytes, list[int]]) -> Lexicon:
@@ -144,25 +171,21 @@ class Lexicon:
         root = freeze(path[0])
         # The number of words from each state on gives the arcs' outputs; states were frozen children first.
         count = [0] * len(states)
-        base, label, to, out = [0], [], [], []
+        step, to, out = [], [], []
         for s, (final, arcs) in enumerate(states):
             n = int(final)
             for byte, target in arcs:
-                label.append(byte)
+                step.append(s * 256 + byte)
                 to.append(target)
                 out.append(n)
                 n += count[target]
             count[s] = n
-            base.append(len(label))
         rows = [ids[w] for w in ordered]
         arrays = {
-            "base": np.array([*base, root], np.int32), "label": np.array(label, np.uint8), "to": np.array(to, np.int32), "out": np.array(out, np.int32),
-            "final": np.array([f for f, _ in states], np.uint8), "start": np.cumsum([0, *map(len, rows)]).astype(np.int32), "ids": np.array([i for r in rows for i in r], np.uint32),
+            "step": np.array(step, np.int64), "to": np.array(to, np.int32), "out": np.array(out, np.int32), "final": np.array([f for f, _ in states], np.uint8),
+            "start": np.cumsum([0, *map(len, rows)]).astype(np.int32), "ids": np.array([i for r in rows for i in r], np.uint32),
         }
-        arrays["base"], cls_root = arrays["base"][:-1], root
-        made = cls(arrays)
-        made.root = cls_root
-        return made
+        return cls(arrays, root)
 
     def dumps(self) -> bytes:
         parts = [getattr(self, n) for n in self.NAMES]
@@ -172,20 +195,22 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, data: bytes) -> Lexicon:
-        """Writes the arrays to a file without a name and maps it into memory."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        """Maps the arrays read-only: from a file that lies in memory and has no name or folder, where the system has such files."""
+        if hasattr(os, "memfd_create"):
+            with os.fdopen(os.memfd_create("lexicon"), "r+b") as f:
+                f.write(data)
+                f.flush()
+                view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            view = mmap.mmap(-1, len(data))
+            view.write(data)
         size = int.from_bytes(view[:8], "little")
         head = json.loads(view[8 : 8 + size])
         at, arrays = 8 + size + -size % 8, {}
         for name, dtype, n in head["arrays"]:
             arrays[name] = np.frombuffer(view, dtype, n, at)
             at += arrays[name].nbytes + -arrays[name].nbytes % 8
-        made = cls(arrays)
-        made.root = head["root"]
-        return made
+        return cls(arrays, head["root"])
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 for words that aren't in the lexicon; all words step together."""
@@ -198,9 +223,12 @@ class Lexicon:
         live = np.arange(n)
         depth = 0
         while len(live := live[sizes[live] > depth]):
-            arc = self.arc[state[live] * 256 + data[at[live] + depth]] - 1
-            state[live[arc < 0]] = -1
-            live, arc = live[arc >= 0], arc[arc >= 0]
+            wanted = state[live] * 256 + data[at[live] + depth]
+            arc = np.searchsorted(self.step, wanted)
+            known = arc < len(self.step)
+            known[known] = self.step[arc[known]] == wanted[known]
+            state[live[~known]] = -1
+            live, arc = live[known], arc[known]
             number[live] += self.out[arc]
             state[live] = self.to[arc]
             depth += 1

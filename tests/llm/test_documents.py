@@ -441,6 +441,28 @@ def test_coding_equals_the_library_and_comes_back(coder, text):
     assert mine.decode(ids).decode() == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="thean so", min_size=70, max_size=400) | st.binary(min_size=70, max_size=300).map(lambda b: b.decode("latin-1")))
+def test_merging_with_a_heap_equals_looking_at_all_pairs(coder, text):
+    merger, word = coder[0].merger, text.encode()
+    old, bpe.SHORT_WORD = bpe.SHORT_WORD, 1 << 30
+    try:
+        assert merger.merge(word) == merger.merge_long(word)
+    finally:
+        bpe.SHORT_WORD = old
+
+
+def test_a_word_of_a_megabyte_takes_seconds(coder):
+    import time
+
+    rng, (mine, library) = random.Random(8), coder
+    for text in ("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "ab" * 300_000, "=" * 500_000):
+        began = time.time()
+        ids = np.frombuffer(mine.encode([text])[0], "<u4").tolist()
+        assert time.time() - began < 40 and mine.decode(np.array(ids, "<u4").tobytes()).decode() == text
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.binary(max_size=6), max_size=40), st.lists(st.binary(max_size=7), max_size=40))
 def test_lexicon_is_exact_and_survives_mapping(words, others):
