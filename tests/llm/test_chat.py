@@ -61,9 +61,15 @@ def test_layouts_become_the_same_turns(spark):
         "response": {"prompt": "why?", "response": "because <b>"},
         "question": {"question": "why?", "answer": "because <b>"},
         "system prompt": {"system_prompt": "", "question": "why?", "response": "because <b>"},
+        "message parts": {"messages": [{"role": r, "content": [{"type": "text", "text": t}]} for r, t in pair]},
+        "mixed messages": {"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}, {"type": "text", "text": "why?"}]}, {"role": "assistant", "content": "because <b>"}]},
+        "message texts": {"messages": [{"role": r, "text": t} for r, t in pair]},
+        "instruction only": {"instruction": "why?", "output": "because <b>"},
         "unknown": {"foo": [1, 2], "bar": {"x": 1}},
     }
-    rows = [(n, json.dumps(v), 1, 2) for n, v in layouts.items()] + [("unknown", None, 1, 2), ("unknown", "not json", 1, 2), ("unknown", "", 1, 2)]
+    more = {n: {**v, "id": 7, "source": {"name": "s", "tags": ["a"]}} for n, v in layouts.items()}
+    more["messages"] = {"messages": [{"role": r, "content": t, "name": None, "score": [1]} for r, t in pair], "id": "x"}
+    rows = [(n, json.dumps(v), 1, 2) for each in (layouts, more) for n, v in each.items()] + [("unknown", None, 1, 2), ("unknown", "not json", 1, 2), ("unknown", "", 1, 2), ("unknown", "[1]", 1, 2), ("unknown", '{"messages": "text"}', 1, 2)]
     out = chat.canonical_json(spark.createDataFrame(rows, "name string, raw string, key int, value int")).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -73,10 +79,30 @@ def test_layouts_become_the_same_turns(spark):
     assert joined.turns[0].text == "a\n\nb"
 
 
-def test_fingerprint_ignores_order_and_values(spark):
-    rows = [('{"b": {"y": 1, "x": 2}, "a": [{"q": 1}, {"p": 2}]}',), ('{"a": [{"p": 5, "q": null}], "b": {"x": "z", "y": []}}',), ('{"a": [{"p": 5}], "b": {"x": "z", "y": []}}',)]
-    got = [r[0] for r in spark.createDataFrame(rows, "raw string").select(chat.fingerprint(chat.json_paths(F.col("raw")))).collect()]
+def test_texts_that_look_like_json_stay_texts(spark):
+    raw = json.dumps({"prompt": '[{"text": "x"}]', "response": '{"a": 1}'})
+    row = chat.canonical_json(spark.createDataFrame([(raw,)], "raw string")).first()
+    assert row.mapping == "response" and [t.text for t in row.turns] == ['[{"text": "x"}]', '{"a": 1}']
+
+
+def test_layouts_are_told_to_full_depth(spark):
+    rows = [('{"b": {"y": 1, "x": 2}, "a": [{"q": {"r": [{"s": 1}]}}]}',), ('{"a": [{"q": {"r": [{"s": "t"}]}}], "b": {"x": "z", "y": true}}',), ('{"a": [{"q": {"r": [{"u": 5}]}}], "b": {"x": "z", "y": 2.5}}',)]
+    got = [r[0] for r in spark.createDataFrame(rows, "raw string").select(chat.layout(F.col("raw"))).collect()]
     assert got[0] == got[1] != got[2]
+    prints = [r[0] for r in spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],), (["a"],)], "p array<string>").select(chat.fingerprint(F.col("p"))).collect()]
+    assert prints[0] == prints[1] != prints[2]
+
+
+def test_each_conversation_goes_by_its_own_layout(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "system", ""), (3, 1, "user", ""), (3, 2, "assistant", ""), (4, 0, "user", "only"), (5, 0, "user", ""), (5, 1, "assistant", "")]
+    rows += [(None, 0, "user", "first"), (None, 1, "assistant", "second")]
+    folder = write(spark, tmp_path, rows)
+    out = chat.format_conversations(spark.read.parquet(f"{folder}/conversations.parquet")).select("conv_id", "mapping", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    assert {r.conv_id: r.mapping for r in out if r.conv_id} == {1: "response", 2: "system prompt", 3: "messages", 4: "messages", 5: "response"}
+    for r in out:
+        if r.conv_id:
+            assert [(t.role, t.text) for t in r.turns] == [(role, text) for i, _, role, text in rows if i == r.conv_id]
+    assert sorted(r.turns[0].text for r in out if r.conv_id is None) == ["first", "second"] and len(out) == 7
 
 
 def test_main_path_is_native(spark, sf):
