@@ -132,52 +132,75 @@ def fitting(dim: int, n: int, cosine: float = COSINE, recall: float = RECALL, ca
         before = made
 
 
-def at_least(a: np.ndarray, b: np.ndarray, cos: np.ndarray, cosine: float) -> np.ndarray:
-    """cos >= cosine for rows of a and b; close ones are computed again in extended precision."""
+def at_least(unit: np.ndarray, i: np.ndarray, j: np.ndarray, cos: np.ndarray, cosine: float) -> np.ndarray:
+    """cos >= cosine for pairs of rows; close ones are computed again in extended precision."""
     out = cos >= cosine
     close = np.flatnonzero(np.abs(cos - cosine) < 1e-9)
     for at in range(0, len(close), 4096):
         some = close[at : at + 4096]
-        x, y = a[some].astype(np.longdouble), b[some].astype(np.longdouble)
+        x, y = unit[i[some]].astype(np.longdouble), unit[j[some]].astype(np.longdouble)
         out[some] = ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).astype(np.float64) >= cosine
     return out
 
 
-def meetings(cells: np.ndarray, i: np.ndarray, j: np.ndarray, tables: int) -> np.ndarray:
-    """Whether rows i and j of the cells (row, table, home and probes) meet in one of the first ``tables`` tables."""
+def meetings(cells: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of the cells (row, table, home and probes) meet in a table before their t."""
     out = np.zeros(len(i), bool)
-    for t in range(tables):
-        some = np.flatnonzero(~out)
-        a, b = cells[i[some], t], cells[j[some], t]
+    for k in range(int(t.max(initial=0))):
+        some = np.flatnonzero(~out & (t > k))
+        a, b = cells[i[some], k], cells[j[some], k]
         out[some] = (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
     return out
 
 
-def compared(ids: np.ndarray, home: np.ndarray, v: np.ndarray, cells: np.ndarray, t: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of one block of a cell in table t: pairs (row at home, visiting row) that link and meet nowhere before."""
+def candidates(low: np.ndarray, high: np.ndarray, homes: np.ndarray, unit: np.ndarray, norm: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row at home, visiting row, cosine) of groups of rows low .. high whose last ``homes`` rows are at home, visitors before them.
+    Pairs of small groups are taken together row by row, large groups by matrix products."""
+    visits = high - low - homes
+    large = homes * visits > 4096
+    for a, b, n in zip(low[large].tolist(), high[large].tolist(), homes[large].tolist()):
+        step = max(1, most // (b - a - n))
+        for first in range(b - n, b, step):
+            last = min(b, first + step)
+            cos = (unit[first:last] @ unit[a : b - n].T) / (norm[first:last][:, None] * norm[a : b - n][None, :])
+            x, y = np.nonzero(cos >= -1)
+            yield first + x, a + y, cos[x, y]
+    small = np.flatnonzero(~large & (visits > 0) & (homes > 0))
+    sums = np.cumsum(homes[small] * visits[small])
+    for part in np.split(small, np.searchsorted(sums, np.arange(most, sums[-1] if len(sums) else 0, most))):
+        if not len(part):
+            continue
+        n, v, each = homes[part], visits[part], homes[part] * visits[part]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        i = np.repeat(low[part] + v, each) + place // np.repeat(v, each)
+        j = np.repeat(low[part], each) + place % np.repeat(v, each)
+        yield i, j, np.einsum("ij,ij->i", unit[i], unit[j]) / (norm[i] * norm[j])
+
+
+def compared(ids: np.ndarray, tables: np.ndarray, edges: np.ndarray, home: np.ndarray, v: np.ndarray, cells: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks of cells (rows between edges, visitors first): pairs (row at home, visiting row) that link and meet nowhere before."""
     unit = scaled(v)
     norm = np.linalg.norm(unit, axis=1)
-    at_home, visiting = np.flatnonzero(home), np.flatnonzero(~home)
     ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = max(1, (1 << 20) // max(1, len(visiting)))
-    for low in range(0, len(at_home), step):
-        own = at_home[low : low + step]
-        cos = (unit[own] @ unit[visiting].T) / (norm[own][:, None] * norm[visiting][None, :])
-        x, y = np.nonzero(cos >= cosine - 1e-9)
-        i, j = own[x], visiting[y]
-        ok = (ids[i] != ids[j]) & at_least(unit[i], unit[j], cos[x, y], cosine)
+    for i, j, cos in candidates(edges[:-1], edges[1:], np.add.reduceat(home.astype(np.int64), edges[:-1]), unit, norm):
+        near = (cos >= cosine - 1e-9) & (ids[i] != ids[j])
+        i, j, cos = i[near], j[near], cos[near]
+        ok = at_least(unit, i, j, cos, cosine)
         i, j = i[ok], j[ok]
         # Both at home here, or each visiting the other's home: the one of the smaller number counts it.
+        t = tables[i]
         mutual = (cells[i, t, 0] == cells[j, t, 0]) | (cells[i, t] == cells[j, t, :1]).any(axis=1)
-        ok = (~mutual | (ids[i] < ids[j])) & ~meetings(cells, i, j, t)
+        ok = ~mutual | (ids[i] < ids[j])
+        i, j, t = i[ok], j[ok], t[ok]
+        ok = ~meetings(cells, i, j, t)
         ii.append(i[ok])
         jj.append(j[ok])
     return np.concatenate(ii), np.concatenate(jj)
 
 
 def links(classes: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFrame:
-    """(u, v, n) of classes (cls, size, v: array<double>): counts have v null and n, the rows that u's rows link with in one cell;
-    links have n null, and are as many as connect what links connect."""
+    """(u, v, n) of classes (cls, size, v: array<double>): counts have v = -1 and the number n of rows that u's rows link with in some cells;
+    links have n = 0, and are as many as connect what links connect."""
     found = {r.d: fitting(r.d, r.n, cosine) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,36 +227,27 @@ def links(classes: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataF
     keys = ["d", "t", "cell", "hb", "vb"]
     members = scratch.keep(at_home.union(visiting))
     brought = members.join(placed.select("cls", "size", "raw", "cells"), "cls").select(*keys, "home", "cls", "size", "raw", "cells")
-    dealt = brought.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = brought.repartition(*keys).sortWithinPartitions(*keys, "home")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(part: pa.Table) -> pa.RecordBatch:
+        def linked(part: pa.Table) -> Iterator[pa.RecordBatch]:
             key = [part.column(k).to_numpy() for k in keys]
-            edge = np.flatnonzero(np.any([np.diff(k, prepend=k[:1] - 1) != 0 for k in key], axis=0))
+            edge = np.append(np.flatnonzero(np.any([np.diff(k, prepend=k[:1] - 1) != 0 for k in key], axis=0)), part.num_rows)
             home, ids, sizes = part.column("home").to_numpy(), part.column("cls").to_numpy(), part.column("size").to_numpy()
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            homes = np.add.reduceat(home.astype(np.int64), edge)
-            for low, high, n in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], homes.tolist()):
-                own = ids[low:high]
-                if n == 0 or n == high - low or high - low == 2 and own[0] == own[1]:
-                    continue
-                group = part.slice(low, high - low)
-                dim, t = int(key[0][low]), int(key[1][low])
+            for dim in np.unique(key[0]).tolist():
+                low, high = np.searchsorted(key[0], [dim, dim + 1])
+                edges = edge[(edge >= low) & (edge <= high)] - low
+                group, own, size = part.slice(low, high - low), ids[low:high], sizes[low:high]
                 v = np.frombuffer(b"".join(group.column("raw").to_pylist()), np.float64).reshape(-1, dim)
-                cells = group.column("cells").combine_chunks()
-                cells = (cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells).flatten().to_numpy().reshape(len(v), -1, wide)
-                size = sizes[low:high]
-                i, j = compared(own, home[low:high], v, cells, t, cosine)
-                if len(i):
-                    names, code = np.unique(own, return_inverse=True)
-                    each = np.bincount(code[i], size[j], len(names)) + np.bincount(code[j], size[i], len(names))
-                    some = each > 0
-                    node, root = forest(own[i], own[j])
-                    far = node != root
-                    out.append((names[some], np.full(some.sum(), -1), each[some].astype(np.int64)))
-                    out.append((node[far], root[far], np.zeros(far.sum(), np.int64)))
-            columns = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "n"])
+                cells = pa.concat_arrays(group.column("cells").chunks).flatten().to_numpy().reshape(len(v), -1, wide)
+                i, j = compared(own, key[1][low:high], edges, home[low:high], v, cells, cosine)
+                names, code = np.unique(own, return_inverse=True)
+                each = np.bincount(code[i], size[j], len(names)) + np.bincount(code[j], size[i], len(names))
+                some = each > 0
+                node, root = forest(own[i], own[j])
+                far = node != root
+                counts, links_ = (names[some], np.full(some.sum(), -1), each[some].astype(np.int64)), (node[far], root[far], np.zeros(far.sum(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(counts, links_)], ["u", "v", "n"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -243,10 +257,10 @@ def links(classes: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataF
             same = np.all([k == k[-1] for k in last], axis=0)
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield linked(held.slice(0, cut).combine_chunks())
+                yield from linked(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield linked(held.combine_chunks())
+            yield from linked(held.combine_chunks())
 
     return dealt.mapInArrow(compare, "u long, v long, n long")
 
