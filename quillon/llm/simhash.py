@@ -1,22 +1,25 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint has 64 bits. The anchors are the words of a covering code, the direct sum of perfect codes
-(two binary Golay codes of 23 bits, a Hamming code of 15 and a repetition code of 3), so that every point has exactly
-one anchor within the covering radii (3, 3, 1, 1).  If two fingerprints differ in at most t bits, a point z
-lies within ceil(t / 2) of both, so z's anchor is within the covering radius plus ceil(t / 2) of both.  Each fingerprint is
-replicated to the anchors of all points that near, about 17 for t = 2, and fingerprints are compared per anchor.
-Anchors with more than GROUP fingerprints are compared through the points z themselves, each of which has
-at most 65 fingerprints around it, so no group is unbounded and none is dropped.
-
-Defined results: null text counts as empty; a text without words has fingerprint zero and links like any other;
-repeated rows and copies share one fingerprint, which is compared once; rows whose doc_id is null belong to their
-component but never name it; other columns are ignored.
+A fingerprint has 64 bits. The anchors are the words of a covering code, the direct sum of perfect codes (two binary Golay codes of 23
+bits, a Hamming code of 15 and a repetition code of 3), so that every point has exactly one anchor within the covering radii
+(3, 3, 1, 1): its home. A fingerprint is replicated to every anchor within the covering radii plus the threshold: those whose distances in
+the four parts go beyond the radii by no more than the threshold in all (about 170 for two bits). If two fingerprints
+differ in at most that many bits, each visits the other's home, so they are compared there: visitors with those at home.
+
+Only anchors that are a home are filled. Of an anchor with more than GROUP fingerprints, which have to be alike, the fingerprints are
+compared through the points within half the threshold of them instead, of which any two that link share one; such a point has at most 65
+fingerprints around it for two bits, so no group is unbounded and none is dropped.
+
+Defined results: null text counts as empty; a text without words has fingerprint zero and links like any other; fingerprints exactly at
+the threshold link; repeated rows and copies share one fingerprint, which is compared once; rows whose doc_id is null belong to
+their component but never name it; an empty table gives no rows; very long texts are hashed whole, in parts; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate, combinations
+from collections.abc import Callable, Iterator
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from quillon.llm.components import connected_components, forest
 
 THRESHOLD = 2
 SHINGLE = 3
-GROUP = 256
+GROUP = 1024
 SPAN = 1 << 16
 
 
@@ -59,41 +62,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-class CoveringCode:
-    """Nearest anchors by syndrome tables."""
+class Part:
+    """A perfect code of ``width`` bits given by its syndromes: what separates a point from the anchors near it depends on its syndrome only."""
 
-    GOLAY = 0b110001110101  # generator polynomial of the binary Golay code of length 23
+    def __init__(self, low: int, width: int, radius: int, syndromes: np.ndarray, beyond: int) -> None:
+        """``syndromes`` of all points. ``beyond``: how far past the radius anchors are listed."""
+        self.low, self.mask, self.syndromes = np.uint64(low), np.uint64((1 << width) - 1), syndromes
+        masks = np.array([sum(1 << b for b in bits) for weight in range(min(width, radius + beyond) + 1) for bits in combinations(range(width), weight)])
+        excess = np.maximum(np.bitwise_count(masks).astype(int) - radius, 0)
+        count = int(syndromes.max()) + 1
+        self.lists = []  # by excess: differences, sorted by syndrome, and where each syndrome's begin
+        for k in range(beyond + 1):
+            own = masks[excess == k]
+            order = np.argsort(syndromes[own], kind="stable")
+            self.lists.append((own[order].astype(np.uint64) << self.low, np.searchsorted(syndromes[own][order], np.arange(count + 1))))
 
-    def __init__(self) -> None:
-        def remainder(word: int) -> int:
-            for bit in range(22, 10, -1):
-                if word >> bit & 1:
-                    word ^= self.GOLAY << (bit - 11)
-            return word
-
-        error = np.zeros(2048, np.uint64)
-        for weight in range(4):
-            for bits in combinations(range(23), weight):
-                word = sum(1 << b for b in bits)
-                error[remainder(word)] = word
-        self.error = error
-        self.low = np.array([remainder(w) for w in range(1 << 12)], np.uint16)
-        self.high = np.array([remainder(w << 12) for w in range(1 << 11)], np.uint16)
-        words = np.arange(1 << 15)
-        syndrome = np.zeros(1 << 15, np.int64)
-        for bit in range(15):
-            syndrome ^= np.where(words >> bit & 1, bit + 1, 0)
-        self.hamming = (words ^ np.where(syndrome, 1 << np.maximum(syndrome - 1, 0), 0)).astype(np.uint64)
-        self.majority = np.array([0, 0, 0, 7, 0, 7, 7, 7], np.uint64)
+    def syndrome(self, points: np.ndarray) -> np.ndarray:
+        return self.syndromes[(points >> self.low & self.mask).astype(np.int64)]
 
-    def golay(self, word: np.ndarray) -> np.ndarray:
-        return word ^ self.error[self.low[word & np.uint64(0xFFF)] ^ self.high[word >> np.uint64(12)]]
 
-    def anchor(self, points: np.ndarray) -> np.ndarray:
-        u = np.uint64
-        first, second = self.golay(points & u(0x7FFFFF)), self.golay(points >> u(23) & u(0x7FFFFF))
-        third, fourth = self.hamming[points >> u(46) & u(0x7FFF)], self.majority[points >> u(61)]
-        return first | second << u(23) | third << u(46) | fourth << u(61)
+class CoveringCode:
+    GOLAY = 0b110001110101  # generator polynomial of the binary Golay code of length 23
+
+    def __init__(self, threshold: int = THRESHOLD) -> None:
+        word, golay = np.arange(1 << 15), np.arange(1 << 23, dtype=np.int32)
+        for bit in range(22, 10, -1):
+            golay ^= (golay >> bit & 1) * np.int32(self.GOLAY << (bit - 11))
+        hamming = np.zeros(1 << 15, np.int64)
+        for bit in range(15):
+            hamming ^= np.where(word >> bit & 1, bit + 1, 0)
+        repetition = np.array([0, 1, 2, 3, 3, 2, 1, 0])  # both words of the code have none, and so on
+        golay = golay.astype(np.int16)
+        self.threshold = threshold
+        self.parts = [Part(0, 23, 3, golay, threshold), Part(23, 23, 3, golay, threshold), Part(46, 15, 1, hamming, threshold), Part(61, 3, 1, repetition, threshold)]
+
+    def anchors(self, points: np.ndarray, beyond: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, whether it is the row's home) of every anchor within the covering radii plus ``beyond`` (the threshold), each once."""
+        syndromes = [p.syndrome(points) for p in self.parts]
+        rows, anchors, homes = [], [], []
+        most = self.threshold if beyond is None else beyond
+        for split in product(range(most + 1), repeat=len(self.parts)):
+            if sum(split) > most:
+                continue
+            row, difference = np.arange(len(points)), np.zeros(len(points), np.uint64)
+            for part, s, k in zip(self.parts, syndromes, split):
+                masks, starts = part.lists[k]
+                first = starts[s[row]]
+                each = starts[s[row] + 1] - first
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                difference = np.repeat(difference, each) ^ masks[np.repeat(first, each) + place]
+                row = np.repeat(row, each)
+            rows.append(row)
+            anchors.append(points[row] ^ difference)
+            homes.append(np.full(len(row), sum(split) == 0))
+        return np.concatenate(rows), np.concatenate(anchors), np.concatenate(homes)
 
 
 def around(points: np.ndarray, radius: int) -> np.ndarray:
@@ -106,50 +128,64 @@ def long(column: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(column).view(np.int64))
 
 
+_CODES: dict[int, CoveringCode] = {}
+
+
 def links(distinct: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v): enough of the pairs of distinct fingerprints at most ``threshold`` bits apart to connect all that are linked."""
-    radius = (threshold + 1) // 2
+    """(u, v): enough of the pairs of distinct fingerprints (``fp``) at most ``threshold`` bits apart to connect all that are linked."""
+
+    def replicate(beyond: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if threshold not in _CODES:
+                _CODES[threshold] = CoveringCode(threshold)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    fp = whole.column("fp").to_numpy()[at : at + 512].view(np.uint64)
+                    row, anchor, home = _CODES[threshold].anchors(fp, beyond)
+                    yield pa.RecordBatch.from_arrays([long(anchor), long(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
+
+        return run
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = CoveringCode()
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 fp = whole.column("fp").to_numpy()[at : at + 2048].view(np.uint64)
-                anchors = np.sort(code.anchor(around(fp, radius)), axis=1)
-                first = np.ones(anchors.shape, bool)
-                first[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
-                row, _ = np.nonzero(first)
-                yield pa.RecordBatch.from_arrays([long(anchors[first]), long(fp[row])], ["anchor", "fp"])
-
-    def midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = CoveringCode()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                part = whole.slice(at, 2048)
-                fp, anchor = (part.column(c).to_numpy().view(np.uint64) for c in ("fp", "anchor"))
-                z = around(fp, radius)
-                row, col = np.nonzero(code.anchor(z) == anchor[:, None])
-                yield pa.RecordBatch.from_arrays([long(z[row, col]), long(fp[row])], ["anchor", "fp"])
+                z = around(fp, (threshold + 1) // 2)
+                yield pa.RecordBatch.from_arrays([long(z.ravel()), long(np.repeat(fp, z.shape[1]))], ["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for group in batch.column("fps"):
-                fp = np.unique(np.array(group.as_py(), np.int64))
-                i, j = np.nonzero(np.triu(np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= threshold, 1))
-                node, root = forest(fp[i], fp[j])
-                us.append(node[node != root])
-                vs.append(root[node != root])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (us, vs)], ["u", "v"])
-
-    placed = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    sizes = scratch.keep(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    near = scratch.keep(placed.join(sizes, "anchor"))
-    grouped = lambda df: df.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").mapInArrow(compare, "u long, v long")
-    small = grouped(near.where(f"n <= {GROUP}").select("anchor", "fp"))
-    if near.where(f"n > {GROUP}").isEmpty():
-        return small
-    return small.union(grouped(near.where(f"n > {GROUP}").select("anchor", "fp").mapInArrow(midpoints, "anchor long, fp long")))
+        """Groups of at most GROUP fingerprints each, one after another in two lists; all pairs of a batch's groups together."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                homes, fps = batch.column("homes"), batch.column("fps")
+                n, m = (np.diff(c.offsets.to_numpy()).astype(np.int64) for c in (homes, fps))
+                own, others = homes.flatten().to_numpy().view(np.uint64), fps.flatten().to_numpy().view(np.uint64)
+                each = n * m
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                i = np.repeat(np.cumsum(n) - n, each) + place // np.repeat(m, each)
+                j = np.repeat(np.cumsum(m) - m, each) + place % np.repeat(m, each)
+                u, v = own[i], others[j]
+                near = (u != v) & (np.bitwise_count(u ^ v) <= threshold)
+                node, root = forest(u[near].view(np.int64), v[near].view(np.int64))
+                far = node != root
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["u", "v"])
+
+    schema = "anchor long, fp long, home boolean"
+    homes = distinct.select("fp").mapInArrow(replicate(0), schema).select("anchor").distinct()
+    homes = scratch.keep(homes)
+    visits = distinct.select("fp").mapInArrow(replicate(threshold), schema).join(homes, "anchor")
+    visits = scratch.keep(visits)
+    sizes = scratch.keep(visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    near = scratch.keep(visits.join(sizes, "anchor"))
+    scratch.drop(homes, visits, sizes)
+    small = near.where(f"n <= {GROUP}").groupBy("anchor").agg(F.collect_list(F.when(F.col("home"), F.col("fp"))).alias("homes"), F.collect_list("fp").alias("fps"))
+    found = small.mapInArrow(compare, "u long, v long")
+    large = near.where(f"n > {GROUP}")
+    if large.isEmpty():
+        return found
+    shared = large.select("fp").distinct().mapInArrow(points, "anchor long, fp long")
+    return found.union(shared.groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select(F.col("fps").alias("homes"), "fps").mapInArrow(compare, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:

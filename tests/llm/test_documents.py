@@ -617,13 +617,34 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, group):
         assert {found.get(p, p) for p in own} == {min(own)}
 
 
-def test_every_point_has_its_anchor_within_the_radii():
-    code, rng = simhash.CoveringCode(), np.random.default_rng(0)
-    points = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    far = points ^ code.anchor(points)
-    for low, width, radius in ((0, 23, 3), (23, 23, 3), (46, 15, 1), (61, 3, 1)):
-        assert np.bitwise_count(far >> np.uint64(low) & np.uint64((1 << width) - 1)).max() <= radius
-    assert (code.anchor(code.anchor(points)) == code.anchor(points)).all()
+def test_anchors_are_all_within_the_radii_plus_the_threshold():
+    code, rng = simhash.CoveringCode(2), np.random.default_rng(0)
+    points = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    parts = ((0, 23, 3), (23, 23, 3), (46, 15, 1), (61, 3, 1))
+    row, anchor, home = code.anchors(points)
+    assert len(set(zip(row.tolist(), anchor.tolist()))) == len(row) and np.bincount(row[home], minlength=60).tolist() == [1] * 60
+    beyond = sum(np.maximum(np.bitwise_count((points[row] ^ anchor) >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(int) - radius, 0) for low, width, radius in parts)
+    assert beyond.max() == 2 and ((beyond == 0) == home).all()
+    homes = code.anchors(points, 0)[1]
+    assert (code.anchors(homes, 0)[1] == homes).all() and (np.sort(homes) == np.sort(anchor[home])).all()
+    # none is left out: each part's anchors by going through all words of its code
+    words = np.arange(1 << 23)
+    golay = words[code.parts[0].syndromes == 0].astype(np.uint64)
+    for r in range(6):
+        far = np.bitwise_count(golay ^ (points[r] & np.uint64(0x7FFFFF)))
+        mine = np.unique(anchor[(row == r)] & np.uint64(0x7FFFFF))
+        assert sorted(golay[far <= 5].tolist()) == mine.tolist()
+
+
+def test_linked_fingerprints_visit_each_others_homes():
+    code, rng = simhash.CoveringCode(2), np.random.default_rng(1)
+    u = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    v = u ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    home = code.anchors(u, 0)[1]
+    row, anchor, _ = code.anchors(v)
+    met = np.zeros(3000, bool)
+    met[row[anchor == home[row]]] = True
+    assert met.all()
 
 
 def test_components_of_long_chains_and_hubs(spark):
