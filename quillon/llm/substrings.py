@@ -2,15 +2,17 @@
 
 Documents are sequences of words. Anchors are winnowed runs of GRAM words: every window of ``window`` words
 has one, the least hash among its runs, so equal windows have equal anchors at equal places.  Documents are
-joined on anchors that occur twice or more (seeds).  Each occurrence is extended both ways as far as its
-windows reach; occurrences with equal surroundings are one class, whose first occurrence stands for it, and all
-others are covered as a whole.  Where one anchor has different surroundings, the windows of the classes'
-first occurrences are compared one by one, so a match is found up to its exact ends.  What
-is covered in a document is the union: the maximal repeats of at least ``window`` words.
-
-Defined results: null text has no words; texts shorter than the window lose nothing; rows of one doc_id are one
-document, so repeated rows are not earlier than each other; rows with a null doc_id keep all words and count as
-nobody's earlier document; other columns are kept as they are by ``remove_repeats``.
+joined on anchors that occur twice or more.  Each occurrence is a seed and is extended both ways as far as its windows reach:
+occurrences with equal surroundings are one class, whose first occurrence is the source of all others. Where one anchor
+has different surroundings, the windows of the classes' first occurrences are compared one by one, so a match is found up
+to its exact ends.  Matches of a document with the same source, along the same shift, are then extended through each other
+while they touch, over any number of anchors: these are the maximal repeats, of at least ``window`` words, and what they cover is cut.
+
+Defined results: null and empty text has no words; texts shorter than the window lose nothing; rows of one doc_id are one document, so
+repeated rows are not earlier than each other, and where their texts differ a word is cut from each row at the places that were
+found in any; of equal windows the first by doc_id, then place, is the source; rows with a null doc_id keep all words and
+count as nobody's earlier document; an empty table gives no rows; very long texts are read whole; other columns are kept
+as they are by ``remove_repeats`` and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -106,8 +108,35 @@ def as_bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column("text").to_pylist()]
 
 
+def maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of each document with one source along one shift, extended through each other where they touch."""
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("source", pa.int64()), ("source_low", pa.int32())]))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            spans = batch.column("spans")
+            size = np.diff(spans.offsets.to_numpy())
+            flat = spans.flatten()
+            low, high, source, origin = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+            row, shift = np.repeat(np.arange(len(size)), size), low - origin
+            order = np.lexsort((low, shift, source, row))
+            row, shift, source, low, high = (x[order] for x in (row, shift, source, low, high))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])
+            group = np.cumsum(new) - 1
+            wide = int(high.max(initial=0)) + 1
+            reach = np.maximum.accumulate(high + group * wide) - group * wide  # the furthest end so far along this shift
+            new[1:] |= low[1:] > reach[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row)) - 1
+            made = pa.StructArray.from_arrays([pa.array(low[first].astype(np.int32)), pa.array(reach[last].astype(np.int32)), pa.array(source[first]), pa.array((low - shift)[first].astype(np.int32))], fields=list(kind.value_type))
+            offsets = np.searchsorted(row[first], np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), made)], ["doc_id", "spans"])
+
+
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, spans): for each document that loses words, word ranges [from, to) that an earlier window repeats; they may overlap."""
+    """(doc_id, spans): for each document that loses words, its maximal repeats: word ranges [low, high) that lie in the document ``source`` from
+    ``source_low`` on, earlier. Repeats of different sources may overlap."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
@@ -133,18 +162,19 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, scratc
             yield pa.RecordBatch.from_arrays([pa.array(g[0]), pa.array(g[1]), pa.array(batch.column("doc_id").to_numpy()[text]), pa.array((start - words.first[text]).astype(np.int32))], ["g1", "g2", "doc_id", "start"])
 
     anchors = docs.mapInArrow(winnow, "h long, c long, doc_id long, place int, a int, b int")
-    repeated = scratch.keep(docs.mapInArrow(winnow, "h long, c long, doc_id long, place int, a int, b int").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    repeated = scratch.keep(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     seeds = scratch.keep(anchors.join(repeated, "h"))
     classes = scratch.keep(seeds.groupBy("h", "c").agg(F.min(F.struct("doc_id", "place", "a", "b")).alias("first"), F.count("*").alias("n")))
     whole = seeds.join(classes.where("n > 1").select("h", "c", "first"), ["h", "c"]).where("doc_id <> first.doc_id or place <> first.place")
-    covered = scratch.keep(whole.selectExpr("doc_id", "place - a as low", f"place - b + {window} as high"))
+    covered = scratch.keep(whole.selectExpr("doc_id", "place - a as low", f"place - b + {window} as high", "first.doc_id as source", "first.place - first.a as source_low"))
     varied = scratch.keep(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     firsts = classes.join(varied, "h", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.place", "first.a", "first.b")).alias("seeds"))
     windows = scratch.keep(docs.join(scratch.keep(firsts), "doc_id").mapInArrow(extend, "g1 long, g2 long, doc_id long, start int"))
     scratch.drop(repeated, seeds, varied)
     earliest = scratch.keep(windows.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g1", "g2", "first"))
-    single = windows.join(earliest, ["g1", "g2"]).where("doc_id <> first.doc_id or start <> first.start").selectExpr("doc_id", "start as low", f"start + {window} as high")
-    spans = scratch.keep(covered.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    single = windows.join(earliest, ["g1", "g2"]).where("doc_id <> first.doc_id or start <> first.start").selectExpr("doc_id", "start as low", f"start + {window} as high", "first.doc_id as source", "first.start as source_low")
+    matched = covered.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "source", "source_low")).alias("spans"))
+    spans = scratch.keep(matched.mapInArrow(maximal, "doc_id long, spans array<struct<low: int, high: int, source: long, source_low: int>>"))
     scratch.drop(windows, earliest, covered, classes)
     return spans
 

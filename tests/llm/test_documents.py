@@ -400,6 +400,21 @@ def test_substrings_with_overlapping_matches(spark, tmp_path):
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == plain_removal(rows)
 
 
+def test_repeats_are_maximal_and_lie_in_their_sources(spark, tmp_path):
+    """A passage of many anchors is one repeat, with its exact ends; every repeat is word for word in its source, earlier, and can't be extended there."""
+    rng = random.Random(4)
+    passage, other = prose(rng, 150).split(), prose(rng, 60).split()
+    texts = {0: prose(rng, 30).split() + passage + prose(rng, 10).split(), 1: prose(rng, 15).split() + passage + other, 2: other + prose(rng, 5).split() + passage[10:90], 3: prose(rng, 200).split() * 2, 4: prose(rng, 30).split()}
+    folder = write_documents(spark, tmp_path, [(i, " ".join(w), "en") for i, w in texts.items()])
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.find_repeats(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert found.keys() == {1, 2, 3} and found[1] == [(15, 165, 0, 30)]
+    assert sorted(found[2]) == [(0, 60, 1, 165), (65, 145, 0, 40)] and found[3] == [(200, 400, 3, 0)]
+    for i, spans in found.items():
+        for low, high, source, at in spans:
+            assert texts[i][low:high] == texts[source][at : at + high - low] and (source, at) < (i, low) and high - low >= 20
+            assert at == 0 or low == 0 or texts[i][low - 1] != texts[source][at - 1]
+
+
 def test_removal_keeps_columns_and_untouched_texts(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = substrings.remove_repeats(docs)
