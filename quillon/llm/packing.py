@@ -4,10 +4,13 @@ Documents are tokenized, cut at every full window, and what is left of each is a
 window.  Shallow combinations of piece lengths that fill a window are enumerated, the number of times to
 use each is solved against the histogram of lengths by non-negative least squares and rounded down, and
 the pieces left over are packed greedily.  All of this works on the histogram, which is bounded by the
-window; pieces then find their places by their rank among the pieces of their length.
+window; pieces then find their places by their rank among the pieces of their length.  A full window is a sequence by itself
+and isn't ranked; pieces of one length are ranked in shares of about RANKED pieces, so no length is ranked by one task.
 
 Defined results: null text counts as empty; every document holds the separator id at least, so an empty one
-is a piece of length 1; ties go by (doc_id, start); repeated documents are packed each on its own.
+is a piece of length 1; ties go by (doc_id, start); repeated documents are packed each on its own, and rows without an id as any other;
+an empty table gives no rows; very long texts are read whole and cut; sequences are numbered from 0, those of full windows after all others with
+gaps between; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from quillon.llm.common import Scratch, chunks, table
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of one length are ranked in so many shares, so that a length that many have isn't ranked by one task.
-SHARES = 64
+#: Pieces of one length are ranked in shares of about so many.
+RANKED = 65_536
 MEMO_PIECES = 1_000_000
 
 LOWER = "a-zß-öø-ÿ"
@@ -189,32 +192,37 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     kept = scratch.keep(pieces(docs, tokenizer, window, separator, with_ids=False))
-    share = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SHARES))
-    counted = kept.groupBy("length", share.alias("share")).agg(F.count("*").alias("n")).collect()  # window * SHARES rows at most
-    histogram: dict[int, int] = defaultdict(int)
-    firsts = []
-    for r in sorted(counted, key=lambda r: (r.length, r.share)):
-        firsts.append((r.length, r.share, histogram[r.length]))
-        histogram[r.length] += r.n
-    spans = defaultdict(list)
-    for n, low, high, sequence, offset in places(solve(histogram, window)):
-        spans[n].append((low, high, sequence, offset))
-    shared = spark.sparkContext.broadcast((spans, {(n, s): f for n, s, f in firsts}))
+    histogram = {r.length: r.n for r in kept.where(F.col("length") < window).groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer rows than the window
+    shares = {n: -(-count // RANKED) for n, count in histogram.items()}
+    split = F.broadcast(spark.createDataFrame(sorted(shares.items()), "length long, shares long"))  # as few
+    share = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("shares"))
+    short = kept.join(split, "length").withColumn("share", share)
+    first = {n: np.zeros(k, np.int64) for n, k in shares.items()}  # how many pieces of a length lie in the shares before each
+    for r in short.where("shares > 1").groupBy("length", "share").agg(F.count("*").alias("n")).collect():  # a row for each share, one share for RANKED pieces
+        first[r.length][r.share] = r.n
+    first = {n: np.cumsum(c) - c for n, c in first.items()}
+    plan = solve(histogram, window)
+    spans: dict[int, list] = defaultdict(list)
+    for n, low, _, sequence, offset in places(plan):
+        spans[n].append((low, sequence, offset))
+    shared = spark.sparkContext.broadcast({n: (first[n], *np.array(v, np.int64).T) for n, v in spans.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length, first = shared.value
-        lows = {n: np.array([x[0] for x in v]) for n, v in by_length.items()}
         for batch in batches:
-            sequence, offset = [], []
-            for n, s, r in zip(*(batch.column(c).to_pylist() for c in ("length", "share", "r"))):
-                rank = first[n, s] + r - 1
-                low, _, base, at = by_length[n][int(np.searchsorted(lows[n], rank, "right")) - 1]
-                sequence.append(base + rank - low)
-                offset.append(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*COLUMNS, "sequence_id", "offset"])
-
-    ranked = kept.withColumn("share", share).withColumn("r", F.expr("row_number() over (partition by length, share order by doc_id, start, ids_crc32)"))
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            length, own, r = (batch.column(c).to_numpy() for c in ("length", "share", "r"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for n in np.unique(length).tolist():
+                before, low, base, at = shared.value[n]
+                rows = np.flatnonzero(length == n)
+                rank = before[own[rows]] + r[rows] - 1
+                i = np.searchsorted(low, rank, "right") - 1
+                sequence[rows], offset[rows] = base[i] + rank - low[i], at[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(sequence), pa.array(offset)], [*COLUMNS, "sequence_id", "offset"])
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    ranked = short.withColumn("r", F.expr("row_number() over (partition by length, share order by doc_id, start, ids_crc32)"))
+    full = kept.where(F.col("length") == window).select(*COLUMNS, (F.monotonically_increasing_id() + sum(times for _, times in plan)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(place, schema).union(full)
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -89,7 +89,9 @@ def check_packing(rows, found, window=packing.WINDOW):
         assert at <= window
 
 
-def test_packing_holds_every_id_once(spark, folder, rows):
+@pytest.mark.parametrize("ranked", [65_536, 3])
+def test_packing_holds_every_id_once(spark, folder, rows, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     check_packing(rows, packing.op1_nnls_packing(spark, folder).collect())
 
 
