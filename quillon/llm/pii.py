@@ -103,7 +103,7 @@ LETTERS = 98
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Tagger:
@@ -159,25 +159,28 @@ class Tagger:
         into |= {f"x{d}": dwx, f"h{d}": dwh, f"b{d}": dz.sum(axis=0)}
 
     def gradient(self, x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the tags, by forward-backward over all paths."""
+        """Mean negative log-likelihood of the tags, by forward-backward over all paths, scaled at every step."""
         n, width = x.shape
         (hf, sf), (hb, sb) = self.run("f", x, True), self.run("b", x, True)
-        hidden, move = np.concatenate([hf, hb], axis=2), self.p["move"]
+        hidden, move = np.concatenate([hf, hb], axis=2), self.p["move"].astype(np.float64)
         e = (hidden @ self.p["out"] + self.p["bias"]).astype(np.float64)
-        a, b = np.empty_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        lse = lambda v, axis: (m := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis=axis))
-        for t in range(1, width):
-            a[:, t] = lse(a[:, t - 1, :, None] + move, 1) + e[:, t]
-        for t in range(width - 2, -1, -1):
-            b[:, t] = lse(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-        z = lse(a[:, -1], 1)
-        de = np.exp(a + b - z[:, None, None])
+        top, high = e.max(axis=2), move.max()
+        w, m = np.exp(e - top[:, :, None]), np.exp(move - high)
+        a, b, scale = np.empty_like(e), np.ones_like(e), np.empty((n, width))
+        for t in range(width):
+            state = w[:, 0] if t == 0 else (a[:, t - 1] @ m) * w[:, t]
+            scale[:, t] = state.sum(axis=1)
+            a[:, t] = state / scale[:, t, None]
+        onward = np.empty_like(e)  # what a tag at t and all after it weigh, over the scale of t
+        for t in range(width - 1, -1, -1):
+            if t < width - 1:
+                b[:, t] = onward[:, t + 1] @ m.T
+            onward[:, t] = w[:, t] * b[:, t] / scale[:, t, None]
+        z = float(np.log(scale).sum() + top.sum() + n * (width - 1) * high)
+        de = a * b
         rows, cols = np.arange(n)[:, None], np.arange(width)[None]
         gold = e[rows, cols, tags].sum() + move[tags[:, :-1], tags[:, 1:]].sum()
-        dmove = np.zeros_like(move, dtype=np.float64)
-        for t in range(1, width):
-            dmove += np.exp(a[:, t - 1, :, None] + move + (e[:, t] + b[:, t] - z[:, None])[:, None, :]).sum(axis=0)
+        dmove = m * (a[:, :-1].reshape(-1, TAGS).T @ onward[:, 1:].reshape(-1, TAGS))
         np.add.at(dmove, (tags[:, :-1], tags[:, 1:]), -1)
         de[rows, cols, tags] -= 1
         de = (de / n).astype(np.float32)
@@ -185,7 +188,7 @@ class Tagger:
         dh = de @ self.p["out"].T
         self.back("f", x, sf, dh[:, :, : self.h], grads)
         self.back("b", x, sb, dh[:, :, self.h :], grads)
-        return float(z.sum() - gold) / n, grads
+        return float(z - gold) / n, grads
 
     def fit(self, x: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.02, seed: int = 0) -> list[float]:
         """Adam over random batches; returns the losses."""
