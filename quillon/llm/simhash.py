@@ -63,38 +63,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Part:
-    """A perfect code of ``width`` bits given by its syndromes: what separates a point from the anchors near it depends on its syndrome only."""
-
-    def __init__(self, low: int, width: int, radius: int, syndromes: np.ndarray, beyond: int) -> None:
-        """``syndromes`` of all points. ``beyond``: how far past the radius anchors are listed."""
-        self.low, self.mask, self.syndromes = np.uint64(low), np.uint64((1 << width) - 1), syndromes
-        masks = np.array([sum(1 << b for b in bits) for weight in range(min(width, radius + beyond) + 1) for bits in combinations(range(width), weight)])
-        excess = np.maximum(np.bitwise_count(masks).astype(int) - radius, 0)
-        count = int(syndromes.max()) + 1
+    """A perfect code of ``width`` bits given by its syndromes: what separates a point from the anchors near it depends on its syndrome only.
+    A word's syndrome is that of its lower half and that of its upper half together, so two small tables give them all."""
+
+    def __init__(self, low: int, width: int, radius: int, column: list[int], beyond: int) -> None:
+        """``column``: the syndrome of each bit. ``beyond``: how far past the radius anchors are listed."""
+        self.low, self.mask, self.half = low, (1 << width) - 1, width // 2 + 1
+        self.tables = [self.spanned(column[: self.half]), self.spanned(column[self.half :])]
         self.lists = []  # by excess: differences, sorted by syndrome, and where each syndrome's begin
+        bits = np.array(column)
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+        for weight in range(min(width, radius + beyond) + 1):
+            chosen = np.array(list(combinations(range(width), weight)), np.int64).reshape(-1, weight)
+            near.append(((1 << chosen).sum(axis=1), np.bitwise_xor.reduce(bits[chosen], axis=1) if weight else np.zeros(1, np.int64)))
         for k in range(beyond + 1):
-            own = masks[excess == k]
-            order = np.argsort(syndromes[own], kind="stable")
-            self.lists.append((own[order].astype(np.uint64) << self.low, np.searchsorted(syndromes[own][order], np.arange(count + 1))))
+            own = near[: radius + 1] if k == 0 else near[radius + k : radius + k + 1]
+            masks, syndromes = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.int64) for i in range(2))
+            order = np.argsort(syndromes, kind="stable")
+            self.lists.append((masks[order].astype(np.uint64) << np.uint64(low), np.searchsorted(syndromes[order], np.arange(int(np.bitwise_or.reduce(bits)) + 2))))
+
+    @staticmethod
+    def spanned(column: list[int]) -> np.ndarray:
+        out = np.zeros(1, np.int64)
+        for c in column:
+            out = np.concatenate([out, out ^ c])
+        return out
 
     def syndrome(self, points: np.ndarray) -> np.ndarray:
-        return self.syndromes[(points >> self.low & self.mask).astype(np.int64)]
+        word = (points >> np.uint64(self.low)).astype(np.int64) & self.mask
+        return self.tables[0][word & ((1 << self.half) - 1)] ^ self.tables[1][word >> self.half]
 
 
 class CoveringCode:
     GOLAY = 0b110001110101  # generator polynomial of the binary Golay code of length 23
 
     def __init__(self, threshold: int = THRESHOLD) -> None:
-        word, golay = np.arange(1 << 15), np.arange(1 << 23, dtype=np.int32)
-        for bit in range(22, 10, -1):
-            golay ^= (golay >> bit & 1) * np.int32(self.GOLAY << (bit - 11))
-        hamming = np.zeros(1 << 15, np.int64)
-        for bit in range(15):
-            hamming ^= np.where(word >> bit & 1, bit + 1, 0)
-        repetition = np.array([0, 1, 2, 3, 3, 2, 1, 0])  # both words of the code have none, and so on
-        golay = golay.astype(np.int16)
+        golay = []
+        for bit in range(23):
+            left = 1 << bit
+            for high in range(22, 10, -1):
+                if left >> high & 1:
+                    left ^= self.GOLAY << (high - 11)
+            golay.append(left)
         self.threshold = threshold
-        self.parts = [Part(0, 23, 3, golay, threshold), Part(23, 23, 3, golay, threshold), Part(46, 15, 1, hamming, threshold), Part(61, 3, 1, repetition, threshold)]
+        self.parts = [Part(0, 23, 3, golay, threshold), Part(23, 23, 3, golay, threshold), Part(46, 15, 1, list(range(1, 16)), threshold), Part(61, 3, 1, [1, 2, 3], threshold)]
 
     def anchors(self, points: np.ndarray, beyond: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, whether it is the row's home) of every anchor within the covering radii plus ``beyond`` (the threshold), each once."""

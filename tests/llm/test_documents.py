@@ -646,7 +646,7 @@ def test_anchors_are_all_within_the_radii_plus_the_threshold():
     assert (code.anchors(homes, 0)[1] == homes).all() and (np.sort(homes) == np.sort(anchor[home])).all()
     # none is left out: each part's anchors by going through all words of its code
     words = np.arange(1 << 23)
-    golay = words[code.parts[0].syndromes == 0].astype(np.uint64)
+    golay = words[code.parts[0].syndrome(words.astype(np.uint64)) == 0].astype(np.uint64)
     for r in range(6):
         far = np.bitwise_count(golay ^ (points[r] & np.uint64(0x7FFFFF)))
         mine = np.unique(anchor[(row == r)] & np.uint64(0x7FFFFF))
