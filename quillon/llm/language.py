@@ -48,7 +48,18 @@ def other_numbers() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
 
 
-TOKENS = re.compile(rf"[^\W\d_{other_numbers()}]+|\n").findall
+LETTERS = re.compile(rf"[^\W\d_{other_numbers()}]+|\n").findall
+NEARLY = re.compile(r"[^\W\d_]+|\n").findall  # much faster, but takes these numbers for letters
+
+
+def tokens_of(texts: list[str]) -> tuple[list[list[str]], set[str]]:
+    """Runs of letters, and line breaks, of each text in lower case, and the different ones."""
+    found = [NEARLY(t.lower()) for t in texts]
+    different = set().union(*found)
+    if odd := {w for w in different if not w.isalpha() and w != "\n"}:
+        found = [LETTERS(t.lower()) if not odd.isdisjoint(f) else f for t, f in zip(texts, found)]
+        different = set().union(*found)
+    return found, different
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +160,8 @@ class Model:
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[str]]]:
         """Marginals of each text's words, and the words."""
-        tokens = [TOKENS(t.lower()) for t in texts]
-        self.learn(set().union(*tokens))
+        tokens, different = tokens_of(texts)
+        self.learn(different)
         index = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(tokens)), np.int64, sum(map(len, tokens)))
         owner = np.repeat(np.arange(len(texts)), list(map(len, tokens)))
         word = index > 0
@@ -225,8 +236,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES, scrat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out: list[tuple] = []
-            for h, lang, text in zip(*(batch.column(c).to_pylist() for c in ("h", "lang", "text"))):
-                words = [w for w in TOKENS(text.lower()) if w != "\n"]
+            for h, lang, found in zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist(), tokens_of(batch.column("text").to_pylist())[0]):
+                words = [w for w in found if w != "\n"]
                 out += [(h, i, lang, " ".join(words[i : i + PASSAGE])) for i in range(0, len(words), PASSAGE)]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["h", "place", "lang", "words"])
 
@@ -272,7 +283,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5) -> Data
             if shared.value:
                 keep = [len(g) > 0 and float(g.max(axis=1).mean()) >= least for g in shared.value.label(texts)[0]]
             else:
-                keep = [any(w != "\n" for w in TOKENS(t.lower())) for t in texts]
+                keep = [any(w != "\n" for w in found) for found in tokens_of(texts)[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
