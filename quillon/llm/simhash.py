@@ -74,8 +74,9 @@ class Part:
         bits = np.array(column)
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for weight in range(min(width, radius + beyond) + 1):
-            chosen = np.array(list(combinations(range(width), weight)), np.int64).reshape(-1, weight)
-            near.append(((1 << chosen).sum(axis=1), np.bitwise_xor.reduce(bits[chosen], axis=1) if weight else np.zeros(1, np.int64)))
+            chosen = list(combinations(range(width), weight))
+            places = np.array(chosen, np.int64).reshape(len(chosen), weight)
+            near.append(((1 << places).sum(axis=1), np.bitwise_xor.reduce(bits[places], axis=1)))
         for k in range(beyond + 1):
             own = near[: radius + 1] if k == 0 else near[radius + k : radius + k + 1]
             masks, syndromes = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.int64) for i in range(2))
