@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.frames import Dataset
 from quillon.functions.numeric import adjust_bh
-from quillon.functions.special import bh, digamma, inverse_trigamma, student_two_sided, trigamma
+from quillon.functions.special import bh, digamma, inverse_trigamma, student_two_sided_all, trigamma
 from quillon.operators.markers import student, welch
 from quillon.operators.qc import pseudobulk
 
@@ -144,7 +144,7 @@ def moderated(counts: np.ndarray, condition: np.ndarray, replicate: np.ndarray,
         t = coef[:, j] / np.sqrt(post * inverse[j, j])
         out[f"lfc {c}"], out[f"t {c}"] = coef[:, j], t
         out[f"mean {c}"] = y[:, condition == c].mean(axis=1)
-        out[f"p {c}"] = np.array([student_two_sided(v, total) for v in t])
+        out[f"p {c}"] = student_two_sided_all(t, np.full(len(t), total))
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,29 +12,78 @@ from pyspark.sql import functions as F
 from quillon.frames import Dataset
 
 
+def running_quantile(x: np.ndarray, y: np.ndarray, q: float, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(middles, quantiles of y) of equal bins of x, half open; an empty bin has the quantile of the one before."""
+    step = (x.max() - x.min()) / bins
+    middle = x.min() + step * (np.arange(bins) + 0.5)
+    place = np.floor((x - x.min()) / max(step, 1e-300)).astype(np.int64)  # the largest x lies past the last bin
+    out = pd.Series(y).groupby(place).quantile(q).reindex(np.arange(bins)).ffill().to_numpy()
+    return middle[~np.isnan(out)], out[~np.isnan(out)]
+
+
+def least_at(f, start: float, low: float = -60.0, high: float = 10.0) -> float:
+    """Where f of a positive number is least near ``start``: downhill in powers of two as far as it goes, then golden sections of that bracket."""
+    at = math.log2(start)
+    step = 0.5 if f(2 ** (at + 0.5)) < f(2**at) else -0.5
+    while low < at + step < high and f(2 ** (at + step)) < f(2**at):
+        at += step
+    a, b, ratio = at - 0.5, at + 0.5, (math.sqrt(5) - 1) / 2
+    c, d = b - ratio * (b - a), a + ratio * (b - a)
+    for _ in range(40):
+        if f(2**c) <= f(2**d):
+            b = d
+        else:
+            a = c
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+    return 2 ** ((a + b) / 2)
+
+
 def v_scores(mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """Fano factor over what counting noise and the batch's baseline noise explain."""
+    """Fano factor over what counting noise and baseline noise explain, of genes with a positive mean.
+
+    The commonest Fano factor (of 200 bins of its logarithm, 1 at least) is what counting noise makes; the part that grows with the mean is
+    fitted to the running tenth percentile of squared variation over 50 bins of the logarithm of the mean, by least absolute errors."""
     fano = var / mean
-    order = np.argsort(mean)
-    low = pd.Series((fano / mean)[order]).rolling(max(1, len(mean) // 50), min_periods=1, center=True).quantile(0.1).to_numpy()
-    floor = np.median(low[-max(1, len(low) // 5) :])
-    a = max(floor, 1e-9)
-    b = max(float(np.quantile(fano[fano > 0], 0.1)) if (fano > 0).any() else 1.0, 1e-9)
-    return fano / (b + a * mean)
-
-
-def valley(score: np.ndarray) -> float:
-    """The emptiest place between the two main peaks of a smoothed histogram of simulated scores; their 95th percentile where there is one peak."""
-    hist, edges = np.histogram(score, bins=256)
-    kernel = np.exp(-0.5 * (np.arange(-12, 13) / 4) ** 2)
-    smooth = np.convolve(hist, kernel / kernel.sum(), "same")
-    peaks = [i for i in range(1, 255) if smooth[i] >= smooth[i - 1] and smooth[i] > smooth[i + 1]]
-    peaks = sorted(sorted(peaks, key=lambda i: -smooth[i])[:2])
-    if len(peaks) < 2:
-        return float(np.quantile(score, 0.95))
-    low = peaks[0] + int(np.argmin(smooth[peaks[0] : peaks[1] + 1]))
-    cut = (edges[low] + edges[low + 1]) / 2
-    return float(cut) if (score > cut).mean() >= 0.05 else float(np.quantile(score, 0.95))
+    live = fano > 0
+    if live.sum() < 3:
+        return fano
+    middle, low = running_quantile(np.log(mean[live]), np.log(fano[live] / mean[live]), 0.1, 50)
+    count, edges = np.histogram(np.log(fano[live]), bins=200)
+    common = max(1.0, math.exp((edges[count.argmax()] + edges[count.argmax() + 1]) / 2))
+    baseline = least_at(lambda b: np.abs(np.log(common * np.exp(-middle) + b) - low).sum(), 0.1)
+    return fano / (common + baseline * mean)
+
+
+def modes(height: np.ndarray) -> np.ndarray:
+    """Where a histogram turns from rising to falling; a plateau counts at its end."""
+    change = np.sign(np.diff(height))
+    moving = np.flatnonzero(change)
+    before = np.concatenate([[1], change[moving][:-1]])
+    return moving[(change[moving] < 0) & (before > 0)]
+
+
+def valley(score: np.ndarray, bins: int = 256, rounds: int = 10_000) -> float:
+    """The emptiest place between the two modes of the histogram of simulated scores, smoothed until two are left. A place with fewer than a twentieth
+    above it parts off some extreme scores only: these are set aside and it is looked for again. Without two modes, the 95th percentile."""
+    left = score
+    for _ in range(20):
+        if len(left) < 2 or left.max() <= left.min():
+            break
+        height, edges = np.histogram(left, bins=bins)
+        height = height.astype(np.float32)
+        for _ in range(rounds):
+            ends = np.concatenate([height[:1], height, height[-1:]])
+            height = (ends[:-2] + ends[1:-1] + ends[2:]) / 3
+            if len(tops := modes(height)) < 3:
+                break
+        if len(tops) != 2:
+            break
+        low = tops[0] + int(height[tops[0] : tops[1] + 1].argmin())
+        cut = float((edges[low] + edges[low + 1]) / 2)
+        if (left > cut).mean() >= 0.05:
+            return cut
+        left = left[left <= cut]
+    return float(np.quantile(score, 0.95))
 
 
 def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, components: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -41,7 +92,7 @@ def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, comp
     n = len(counts)
     total = np.maximum(counts.sum(axis=1), 1e-12)
     x = counts / total[:, None] * np.median(total)
-    mean, var = x.mean(axis=0), x.var(axis=0, ddof=1)
+    mean, var = x.mean(axis=0), x.var(axis=0)
     ok = (mean > 0) & (var > 0) & ((x >= 3).sum(axis=0) >= 3)
     if ok.sum() >= 20:
         v = v_scores(mean[ok], var[ok])
@@ -77,9 +128,12 @@ def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, comp
 
 
 def scrublet(ds: Dataset, batch: str | None = None, ratio: float = 2.0, rate: float = 0.05, seed: int = 0, least: int = 10) -> DataFrame:
-    """(cell_id, batch, score, threshold, doublet): a batch is one capture, one task's input; batches of fewer than ``least`` cells get no score."""
+    """(cell_id, batch, score, threshold, doublet): a batch is one capture, one task's input; batches of fewer than ``least`` cells get no score.
+    Counts must be whole numbers, since sums of normalized values are no doublets."""
+    if not ds.counts.where("value <> floor(value)").isEmpty():
+        raise ValueError("doublets are simulated from raw counts, and these aren't whole numbers; normalize afterwards")
     labels = ds.cells.select("cell_id", (F.col(batch).cast("string") if batch else F.lit("all")).alias("batch"))
-    entries = ds.counts.groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("e"))
+    entries = ds.counts.groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("e")).select("cell_id", "e.gene_id", "e.value")
     rows = labels.join(entries, "cell_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,10 +141,12 @@ def scrublet(ds: Dataset, batch: str | None = None, ratio: float = 2.0, rate: fl
         out = pd.DataFrame({"cell_id": pdf.cell_id, "batch": pdf.batch, "score": None, "threshold": None, "doublet": None})
         if len(pdf) < least:
             return out
-        parts = [(i, e["gene_id"], e["value"]) for i, own in enumerate(pdf.e) if own is not None for e in own]
-        genes, code = np.unique([p[1] for p in parts], return_inverse=True)
+        stored = [len(own) if own is not None else 0 for own in pdf.gene_id]
+        if not sum(stored):
+            return out
+        genes, code = np.unique(np.concatenate([g for g in pdf.gene_id if g is not None]), return_inverse=True)
         counts = np.zeros((len(pdf), len(genes)))
-        counts[[p[0] for p in parts], code] = [p[2] for p in parts]
+        counts[np.repeat(np.arange(len(pdf)), stored), code] = np.concatenate([v for v in pdf.value if v is not None])
         score, _, cut = score_batch(counts, ratio, rate, seed=seed)
         out["score"], out["threshold"], out["doublet"] = score, cut, score > cut
         return out

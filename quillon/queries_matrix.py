@@ -254,17 +254,26 @@ SELECT gene_id, cluster, {r('CASE WHEN va + vb > 0 THEN (m1 - m0) / sqrt(va + vb
 query("d2_markers_against_group", REF)(
     lambda s, d: markers.against_group(logged(s, d), "BUILDING").select("gene_id", "cluster", "t", F.round("df", 4).alias("df4"), F.round("lfc", 4).alias("lfc4"), "pts")
 )
-query("d2_student_p")(lambda s, d: markers.against_group(logged(s, d), "BUILDING").select("gene_id", "cluster", "p", "padj", "rank"))
+#: Two-sided p of Student's t by Simpson's rule over the angle, and Benjamini-Hochberg's adjustment: of t, df in {w}, by {by}.
+TAIL = """, th AS (SELECT *, atan(abs(t) / sqrt(df)) AS lo, least(pi() / 2, atan(abs(t) / sqrt(df)) + 16 / sqrt(df)) AS hi, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) AS front FROM {w}),
+pv AS (SELECT * EXCLUDE (lo, hi, front), CASE WHEN t IS NULL THEN 1e0 ELSE least(1e0, 2 * front * (hi - lo) / 4800 * list_sum(list_transform(range(0, 1601), lambda i: (CASE WHEN i = 0 OR i = 1600 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(0e0, cos(lo + (hi - lo) * i / 1600)), df - 1)))) END AS p FROM th),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY p, gene_id) AS rn, count(*) OVER (PARTITION BY {by}) AS nn FROM pv),
+bh AS (SELECT * EXCLUDE (rn, nn), least(1e0, min(p * nn / rn) OVER (PARTITION BY {by} ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM rk)"""
+T_DF = "CASE WHEN va + vb > 0 THEN (m1 - m0) / sqrt(va + vb) END AS t, CASE WHEN va + vb > 0 THEN (va + vb) * (va + vb) / (va * va / (size - 1) + vb * vb / (n0 - 1)) END AS df"
+query("d2_student_p", REF.partition("\nSELECT gene_id, cluster")[0] + f", td AS (SELECT gene_id, cluster, {T_DF} FROM w)" + TAIL.format(w="td", by="cluster") + f" SELECT gene_id, cluster, {r('p', 5)} AS p, {r('padj', 5)} AS padj, row_number() OVER (PARTITION BY cluster ORDER BY round(t, 9) DESC NULLS LAST, gene_id) AS rank FROM bh", 5)(lambda s, d: markers.against_group(logged(s, d), "BUILDING").select("gene_id", "cluster", "p", "padj", "rank"))
 OBN = OB + ", tt AS (SELECT cell_id, sum(value) AS total FROM x GROUP BY 1), xl AS (SELECT cell_id, gene_id, ln(1e0 + value * 1e4 / total) AS value FROM x JOIN tt USING (cell_id))"
 ob_logged = lambda s, d: normalize.log_transform(normalize.normalize_total(order_brand(s, d)))
-query("d5_conditions_by_cell", f"""WITH {OBN}, z AS (SELECT cluster, condition, count(*) AS size FROM cells WHERE cluster IS NOT NULL AND condition IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10), u AS (SELECT gene_id, cluster, condition, sum(value) AS s, sum(value * value) AS q, count(*) AS stored FROM xl JOIN cells USING (cell_id) GROUP BY 1, 2, 3),
+CONDITIONS = f"""WITH {OBN}, z AS (SELECT cluster, condition, count(*) AS size FROM cells WHERE cluster IS NOT NULL AND condition IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10), u AS (SELECT gene_id, cluster, condition, sum(value) AS s, sum(value * value) AS q, count(*) AS stored FROM xl JOIN cells USING (cell_id) GROUP BY 1, 2, 3),
 st AS (SELECT g.gene_id, z.cluster, z.condition, z.size, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(stored, 0) AS stored FROM genes g CROSS JOIN z LEFT JOIN u ON u.gene_id = g.gene_id AND u.cluster = z.cluster AND u.condition = z.condition),
 k AS (SELECT gene_id, cluster, size AS n0, s AS s0, q AS q0, stored / size AS pct_ref FROM st WHERE condition = 'O'),
-w AS (SELECT cluster, condition, gene_id, s / size AS m1, s0 / n0 AS m0, {VAR('s', 'q', 'size')} / size AS va, {VAR('s0', 'q0', 'n0')} / n0 AS vb, size, n0, pct_ref, stored / size AS pct_cond FROM st JOIN k USING (gene_id, cluster) WHERE condition <> 'O' AND size >= 2 AND n0 >= 2)
+w AS (SELECT cluster, condition, gene_id, s / size AS m1, s0 / n0 AS m0, {VAR('s', 'q', 'size')} / size AS va, {VAR('s0', 'q0', 'n0')} / n0 AS vb, size, n0, pct_ref, stored / size AS pct_cond FROM st JOIN k USING (gene_id, cluster) WHERE condition <> 'O' AND size >= 2 AND n0 >= 2)"""
+query("d5_conditions_by_cell", CONDITIONS + f"""
 SELECT cluster, condition, gene_id, {r('CASE WHEN va + vb > 0 THEN (m1 - m0) / sqrt(va + vb) END')} AS t, {r('pct_ref')} AS pct_ref, {r('pct_cond')} AS pct_cond, {r('log2((exp(m1) - 1 + 1e-9) / (exp(m0) - 1 + 1e-9))')} AS lfc FROM w""")(
     lambda s, d: compare.compare_cells(ob_logged(s, d), "condition", "O", with_p=False).drop("df")
 )
-query("d5_conditions_by_cell_p")(lambda s, d: compare.volcano(compare.compare_cells(ob_logged(s, d), "condition", "O")))
+query("d5_conditions_by_cell_p", CONDITIONS + f", td AS (SELECT cluster, condition, gene_id, log2((exp(m1) - 1 + 1e-9) / (exp(m0) - 1 + 1e-9)) AS lfc, pct_ref, pct_cond, {T_DF} FROM w)" + TAIL.format(w="td", by="cluster, condition") + f" SELECT cluster, condition, gene_id, {r('t', 5)} AS t, {r('df', 3)} AS df3, {r('lfc', 5)} AS lfc, {r('pct_ref', 5)} AS pct_ref, {r('pct_cond', 5)} AS pct_cond, {r('p', 5)} AS p, {r('padj', 5)} AS padj, padj < 0.05 AND abs(lfc) >= 1 AS significant FROM bh", 5)(
+    lambda s, d: compare.volcano(compare.compare_cells(ob_logged(s, d), "condition", "O")).withColumn("df3", F.round("df", 3)).drop("df")
+)
 query("d6_conditions_pseudobulk")(lambda s, d: compare.compare_pseudobulk(order_brand(s, d), "condition", "O", "cluster", "sample"))
 query("d6a_expression_filter", f"""WITH {OB}, {UNITS}, l AS (SELECT cluster, condition, sample, sum(counts) AS lib FROM p GROUP BY 1, 2, 3), md AS (SELECT cluster, quantile_cont(lib, 0.5::DOUBLE) AS med FROM l GROUP BY 1), kk AS (SELECT cluster, min(n) AS k FROM (SELECT cluster, condition, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
 h AS (SELECT cluster, gene_id, count(*) FILTER (WHERE counts / lib * 1e6 >= 10e0 / med * 1e6) AS hits, sum(counts) AS total, max(CASE WHEN k > 10 THEN 10 + (k - 10) * 0.7::DOUBLE ELSE k END) AS need FROM p JOIN l USING (cluster, condition, sample) JOIN md USING (cluster) JOIN kk USING (cluster) GROUP BY 1, 2) SELECT cluster, gene_id FROM h WHERE hits >= need - 1e-14 AND total >= 15 - 1e-14""")(

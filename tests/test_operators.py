@@ -278,24 +278,57 @@ def test_doublets_outrank_singlets(spark):
     assert all(r.score is None for r in few)
 
 
-def test_pseudobulk_model_finds_the_changed_gene(spark):
-    rng = np.random.default_rng(4)
-    rows, cells = [], []
-    i = 0
-    for donor in range(6):
-        for cond in ("control", "treated"):
-            for group in ("A", "B"):
-                for _ in range(15):
-                    rate = rng.gamma(3, 1, 30)
-                    rate[0] *= 5 if cond == "treated" and group == "A" else 1
-                    rows += [(i, g, float(x)) for g, x in enumerate(rng.poisson(rate)) if x]
-                    cells.append((i, group, cond, f"d{donor}"))
-                    i += 1
-    ds = Dataset(spark.createDataFrame(rows, "cell_id long, gene_id long, value double"), spark.createDataFrame(cells, "cell_id long, cluster string, condition string, sample string"), spark.createDataFrame([(g, f"g{g}") for g in range(30)], "gene_id long, gene_name string"))
-    found = compare.compare_pseudobulk(ds, "condition", "control", "cluster", "sample")
-    top = found.where("cluster = 'A'").orderBy("p").first()
-    assert top.gene_id == 0 and top.lfc > 1.5 and top.padj < 1e-3
-    assert found.where("cluster = 'B' and padj < 0.01").count() == 0
+def test_pseudobulk_model_orders_planted_changes(spark):
+    """Four groups of unpaired samples with unlike depths; in one group three genes change by known folds, up and down, in another none does."""
+    rng = np.random.default_rng(41)
+    fold = {("g1", 3): 6.0, ("g1", 7): 3.0, ("g1", 11): 1 / 5}
+    level = rng.lognormal(1.2, 0.8, 48)
+    rows, cells, i = [], [], 0
+    for sample in range(9):
+        state = ("rest", "salt", "heat")[sample % 3]
+        own = level * rng.lognormal(0, 0.12, 48) * (0.6 + 0.15 * sample)
+        for group in ("g0", "g1"):
+            for _ in range(11 + sample):
+                change = np.array([fold.get((group, g), 1.0) if state == "heat" else 1.0 for g in range(48)])
+                rows += [(i, g, float(x)) for g, x in enumerate(rng.poisson(own * change)) if x]
+                cells.append((i, group, state, f"s{sample}"))
+                i += 1
+    ds = Dataset(spark.createDataFrame(rows, "cell_id long, gene_id long, value double"), spark.createDataFrame(cells, "cell_id long, cluster string, condition string, sample string"), spark.createDataFrame([(g, f"g{g}") for g in range(48)], "gene_id long, gene_name string"))
+    found = {(r.cluster, r.condition, r.gene_id): r for r in compare.compare_pseudobulk(ds, "condition", "rest", "cluster", "sample").collect()}
+    for (group, gene), times in fold.items():
+        row = found[group, "heat", gene]
+        assert abs(row.lfc - np.log2(times)) < 0.6 and row.padj < 0.02 and found[group, "salt", gene].padj > 0.02
+    assert sum(r.padj < 0.02 for k, r in found.items() if (k[0], k[2]) not in fold) <= 2
+
+
+def test_student_p_of_arrays_equals_one_by_one():
+    rng = np.random.default_rng(0)
+    t, df = np.concatenate([rng.normal(0, 4, 400), [0, 50, -50, np.nan, 1, 2]]), np.concatenate([rng.gamma(1, 30, 400) + 0.1, [3, 3, 900, 5, np.inf, 0]])
+    plain = [special.student_two_sided(a, b) for a, b in zip(t, df)]
+    assert np.allclose(special.student_two_sided_all(t, df), plain, rtol=1e-9, atol=1e-300)
+    x = np.concatenate([rng.gamma(0.5, 1, 50) + 1e-3, rng.gamma(2, 200, 50)])
+    assert np.allclose(special.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_v_scores_and_valleys():
+    rng = np.random.default_rng(3)
+    mean = rng.lognormal(0, 1.5, 3000)
+    var = mean * 1.3 + 0.2 * mean**2
+    noisy = var * rng.lognormal(0, 0.05, 3000)
+    noisy[:30] *= 8
+    v = doublets.v_scores(mean, noisy)
+    assert (np.argsort(-v)[:30] < 30).sum() >= 28 and abs(np.median(v[30:]) - 1) < 0.35
+    both = np.concatenate([rng.normal(0.2, 0.03, 4000), rng.normal(0.6, 0.05, 2000)])
+    assert 0.3 < doublets.valley(both) < 0.5
+    assert 0.3 < doublets.valley(np.concatenate([both, [3.0, 3.01, 3.02]])) < 0.5
+    assert doublets.valley(np.full(10, 0.3)) == pytest.approx(0.3)
+    assert abs(doublets.least_at(lambda b: abs(b - 0.37), 0.1) - 0.37) < 1e-4
+
+
+def test_doublets_need_whole_counts(spark):
+    ds = dataset(spark, np.random.default_rng(0).poisson(2.0, (40, 30)).astype(float))
+    with pytest.raises(ValueError, match="raw counts"):
+        doublets.scrublet(ds.with_frames(x=ds.x.withColumn("value", F.col("value") * 0.7)))
 
 
 def test_tmm_and_filter():
