@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,5 +78,22 @@ def compare_analyses(labelings: dict[str, DataFrame]) -> dict[tuple[str, str], D
     return {(a, b): agreement(contingency(labelings[a], labelings[b])) for i, a in enumerate(names) for b in names[i + 1 :]}
 
 
+def marker_overlap(matches: DataFrame, first: DataFrame, second: DataFrame, n: int = 50) -> DataFrame:
+    """``matches`` (la, lb, jaccard) with the overlap of both clusters' ``n`` best markers (cluster, gene_id, rank): shared over all, null where either has none."""
+    top = lambda m, key: m.where(F.col("rank") <= n).groupBy(F.col("cluster").alias(key)).agg(F.collect_set("gene_id").alias(f"{key}_genes"))  # noqa: E731  # n genes a cluster
+    both = matches.join(top(first, "la"), "la", "left").join(top(second, "lb"), "lb", "left")
+    return both.select("la", "lb", "jaccard", (F.size(F.array_intersect("la_genes", "lb_genes")) / F.size(F.array_union("la_genes", "lb_genes"))).alias("markers"))
+
+
+def seed_noise(label_with: Callable[[int], DataFrame], seeds: list[int]) -> float:
+    """The mean adjusted Rand index of a labeling with itself under other seeds; the first seed is the one compared with.
+    Differences between settings smaller than 1 less this are within its own variation."""
+    if len(seeds) < 2:
+        raise ValueError("noise needs two seeds at least")
+    base = label_with(seeds[0])
+    found = [agreement(contingency(base, label_with(s))).first().ari for s in seeds[1:]]
+    return sum(found) / len(found)
+
+
 def cluster_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("n"))

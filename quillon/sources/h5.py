@@ -5,6 +5,8 @@ The driver reads shapes and annotations; the matrix is read by tasks, each a ran
 
 from __future__ import annotations
 
+from array import array
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,19 +47,20 @@ def frame(spark: SparkSession, group: Node, key: str, name: str, wanted: list[st
 def entries(spark: SparkSession, path: str, group: str, indptr: np.ndarray, major: str, minor: str) -> DataFrame:
     """(cell_id, gene_id, value) of a compressed matrix, ranges of whole rows by task."""
     cuts = np.unique(np.searchsorted(indptr, np.arange(0, indptr[-1] + PART, PART)).clip(0, len(indptr) - 1))
-    ranges = [(int(a), int(b), [int(x) for x in indptr[a : b + 1]]) for a, b in zip(cuts, cuts[1:])] if len(cuts) > 1 else []
+    ranges = [(int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, ptr in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "ptr"))):
+            for low, high in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist()):
                 node = File(path)[group]
+                ptr = node["indptr"].read(low, high + 1).astype(np.int64)
                 rows = np.repeat(np.arange(low, high), np.diff(ptr))
-                columns, values = node["indices"].read(ptr[0], ptr[-1]).astype(np.int64), node["data"].read(ptr[0], ptr[-1]).astype(np.float64)
+                columns, values = node["indices"].read(int(ptr[0]), int(ptr[-1])).astype(np.int64), node["data"].read(int(ptr[0]), int(ptr[-1])).astype(np.float64)
                 for at in range(0, len(rows), 1 << 18):
                     s = slice(at, at + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(rows[s]), pa.array(columns[s]), pa.array(values[s])], [major, minor, "value"])
 
-    plan = spark.createDataFrame(ranges, "low long, high long, ptr array<long>").repartition(max(1, len(ranges)))
+    plan = spark.createDataFrame(ranges, "low long, high long").repartition(max(1, len(ranges)))
     return plan.mapInArrow(run, f"{major} long, {minor} long, value double").where("value <> 0").select("cell_id", "gene_id", "value")
 
 
@@ -109,7 +112,7 @@ def write_h5ad(ds: Dataset, path: str, chunk: int = 65_536) -> None:
     """One file by one writer: rows come to the driver partition by partition in order of cell. For what one machine's disk holds."""
     cells, genes = ds.cells.orderBy("cell_id").toPandas(), ds.genes.orderBy("gene_id").toPandas()
     at_cell, at_gene = ({k: i for i, k in enumerate(t[c])} for t, c in ((cells, "cell_id"), (genes, "gene_id")))
-    counts, index, data = np.zeros(len(cells), np.int64), [], []
+    counts, index, data = np.zeros(len(cells), np.int64), array("i"), array("d")
     for r in ds.x.select("cell_id", "gene_id", "value").orderBy("cell_id", "gene_id").toLocalIterator():
         counts[at_cell[r.cell_id]] += 1
         index.append(at_gene[r.gene_id])
@@ -123,7 +126,7 @@ def write_h5ad(ds: Dataset, path: str, chunk: int = 65_536) -> None:
                 columns[c] = w.dataset(pdf[c].to_numpy() if pdf[c].dtype.kind in "iuf" else pdf[c].astype(str).to_numpy())
         return w.group(columns, {"_index": "_index", "encoding-type": "dataframe"})
 
-    x = w.group({"data": w.dataset(np.array(data, np.float64), chunk=chunk), "indices": w.dataset(np.array(index, np.int32), chunk=chunk), "indptr": w.dataset(np.concatenate([[0], np.cumsum(counts)]))}, {"encoding-type": "csr_matrix", "shape": np.array([len(cells), len(genes)])})
+    x = w.group({"data": w.dataset(np.frombuffer(data, np.float64), chunk=chunk), "indices": w.dataset(np.frombuffer(index, np.int32), chunk=chunk), "indptr": w.dataset(np.concatenate([[0], np.cumsum(counts)]))}, {"encoding-type": "csr_matrix", "shape": np.array([len(cells), len(genes)])})
     w.close(w.group({"X": x, "obs": table(cells, "cell_id", "cell_name"), "var": table(genes, "gene_id", "gene_name")}))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.frames import Dataset
+from quillon.plans.steps import Steps
 
 
 def hadoop_exists(spark: SparkSession, path: str) -> bool:
@@ -49,11 +50,23 @@ def read_mtx(spark: SparkSession, folder: str) -> Dataset:
     return Dataset(x, cells, genes)
 
 
+def places(rows: DataFrame, key: str, steps: Steps) -> DataFrame:
+    """(key, at): places from one by order of the key; ranges of keys are ranked by task, and only the number of keys in each passes the driver."""
+    held = steps.keep(rows.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    before, at = [], 0
+    for r in held.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        before.append((r.part, at))
+        at += r.n
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(key)))
+    shift = rows.sparkSession.createDataFrame(before, "part int, before long")
+    return ranked.join(F.broadcast(shift), "part").select(key, (F.col("before") + F.col("r")).alias("at"))  # a row a partition
+
+
 def write_mtx(ds: Dataset, folder: str) -> None:
     """Ids become places by order. The entries are one text table of many parts; its first part holds the header."""
     spark = ds.x.sparkSession
-    place = lambda df, key: df.select(key).withColumn("b", F.lit(0)).select(key, (F.row_number().over(_by(key))).alias("at"))
-    cells, genes = place(ds.cells, "cell_id"), place(ds.genes, "gene_id")
+    steps = Steps(spark, "mtx")
+    cells, genes = places(ds.cells, "cell_id", steps), places(ds.genes, "gene_id", steps)
     body = ds.x.join(cells.withColumnRenamed("at", "c"), "cell_id").join(genes.withColumnRenamed("at", "g"), "gene_id").select(F.concat_ws(" ", "g", "c", F.format_string("%s", "value")).alias("value"))
     n = [ds.genes.count(), ds.cells.count(), body.count()]
     head = spark.range(1, numPartitions=1).select(F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate real general"), F.lit(" ".join(map(str, n))))).alias("value"))
@@ -61,9 +74,3 @@ def write_mtx(ds: Dataset, folder: str) -> None:
     name = lambda df, key, column: F.col(column) if column in df.columns else F.col(key).cast("string")
     ds.cells.select("cell_id", name(ds.cells, "cell_id", "cell_name").alias("v")).orderBy("cell_id").coalesce(1).select("v").write.text(f"{folder}/barcodes.tsv")
     ds.genes.select("gene_id", F.concat_ws("\t", F.col("gene_id").cast("string"), name(ds.genes, "gene_id", "gene_name")).alias("v")).orderBy("gene_id").coalesce(1).select("v").write.text(f"{folder}/features.tsv")
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(key)

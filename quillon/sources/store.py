@@ -73,19 +73,50 @@ def sniff(path: str) -> str:
     return "folder"
 
 
-def open_any(spark: SparkSession, path: str) -> Dataset:
-    from quillon.sources.mtx import hadoop_exists, read_mtx
+def sniff_content(spark: SparkSession, path: str) -> str:
+    """The format by what a file begins with, whatever its name; of a folder by the files it holds, and by name where neither tells."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(place).isDirectory():
+        names = {f.getPath().getName() for f in files.listStatus(place)}
+        return "mtx" if names & {"matrix.mtx", "matrix.mtx.gz"} else "folder" if {"x", "cells", "genes"} <= names else sniff(path)
+    stream = files.open(place)
+    try:
+        head = bytes(b for b in (stream.read() for _ in range(14)) if b >= 0)
+    finally:
+        stream.close()
+    if head.startswith(b"\x89HDF\r\n\x1a\n"):
+        from quillon.sources.hdf5 import File
+
+        return "h5ad" if "X" in File(path) else "10x h5"
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    if head.startswith(b"%%MatrixMarket") or head.startswith(b"\x1f\x8b"):
+        return "mtx"
+    return sniff(path)
+
 
-    kind = sniff(path)
+def open_any(spark: SparkSession, path: str) -> Dataset:
+    """Opens what the content says it is: HDF5 of either kind, a matrix (its folder) or a saved dataset."""
+    kind = sniff_content(spark, path)
     if kind in ("h5ad", "10x h5"):
         from quillon.sources import h5
 
         return h5.read_h5ad(spark, path) if kind == "h5ad" else h5.read_10x_h5(spark, path)
-    if kind == "mtx" or any(hadoop_exists(spark, f"{path}/matrix.mtx{z}") for z in ("", ".gz")):
-        return read_mtx(spark, path.rsplit("/", 1)[0] if kind == "mtx" else path)
+    if kind == "mtx":
+        from quillon.sources.mtx import read_mtx
+
+        return read_mtx(spark, path.rsplit("/", 1)[0] if _is_file(spark, path) else path)
     return read(spark, path)
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+
+
 def scan(ds: Dataset) -> DataFrame:
     """One row: n_cells, n_genes, nnz, sparsity."""
     one = ds.cells.agg(F.count("*").alias("n_cells")).crossJoin(ds.genes.agg(F.count("*").alias("n_genes"))).crossJoin(ds.x.agg(F.count("*").alias("nnz")))

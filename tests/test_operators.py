@@ -331,6 +331,62 @@ def test_doublets_need_whole_counts(spark):
         doublets.scrublet(ds.with_frames(x=ds.x.withColumn("value", F.col("value") * 0.7)))
 
 
+def two_rings(spark):
+    """Two rings of forty cells, and vectors that tell them apart."""
+    pairs = [(r * 40 + i, r * 40 + (i + k) % 40) for r in range(2) for i in range(40) for k in (1, 2)] + [(0, 40)]
+    edges = spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "src long, dst long, w double")
+    emb = spark.createDataFrame([(i, [float(i >= 40) * 5, float(np.cos(i)), float(np.sin(i))]) for i in range(80)], "cell_id long, v array<double>")
+    return edges, emb
+
+
+@pytest.mark.parametrize("init", ["leiden", "kmeans", "pca", "array"])
+def test_layout_starts(spark, init):
+    edges, emb = two_rings(spark)
+    given = spark.createDataFrame([(i, float(i // 40) * 9, float(i % 40)) for i in range(80)], "cell_id long, x double, y double")
+    out = layout.umap(edges, epochs=60, init=init, emb=emb if init in ("kmeans", "pca") else None, places=given if init == "array" else None, clusters=6).orderBy("cell_id").toPandas()
+    xy = out[["x", "y"]].to_numpy()
+    assert len(out) == 80 and np.isfinite(xy).all()
+    near = np.mean([np.linalg.norm(xy[i] - xy[(i + 1) % 40]) for i in range(39)])
+    assert near < np.linalg.norm(xy[:40, None] - xy[None, 40:], axis=2).mean()
+    if init != "leiden":
+        with pytest.raises(ValueError, match="needs"):
+            layout.umap(edges, init=init)
+
+
+def test_graphs_too_large_for_one_task_are_refused(spark, monkeypatch):
+    edges, _ = two_rings(spark)
+    monkeypatch.setattr(hierarchy, "ONE_TASK_EDGES", 10)
+    for make in (hierarchy.dendrogram, layout.umap, lambda e: hierarchy.cut(e, n_clusters=2)):
+        with pytest.raises(ValueError, match="one task"):
+            make(edges)
+
+
+def test_marker_overlap_and_seed_noise(spark):
+    matches = spark.createDataFrame([("a", "x", 0.5), ("b", "y", 0.2)], "la string, lb string, jaccard double")
+    first = spark.createDataFrame([("a", g, g) for g in range(1, 5)] + [("b", 9, 1)], "cluster string, gene_id long, rank int")
+    second = spark.createDataFrame([("x", g, g - 2) for g in range(3, 7)], "cluster string, gene_id long, rank int")
+    got = {r.la: r.markers for r in curate.marker_overlap(matches, first, second).collect()}
+    assert got == {"a": 2 / 6, "b": None}
+    assert {r.la: r.markers for r in curate.marker_overlap(matches, first, second, 3).collect()}["a"] == 1 / 5
+    labels = lambda s: spark.createDataFrame([(i, str((i + s) // 10 % 3)) for i in range(30)], "cell_id long, label string")
+    assert curate.seed_noise(labels, [0, 30]) == 1.0 and curate.seed_noise(labels, [0, 5]) < 1
+
+
+def test_formats_are_told_by_content(spark, tmp_path, counts, labels):
+    ds = dataset(spark, counts, labels)
+    from quillon.sources import h5, mtx
+
+    h5.write_h5ad(ds, str(tmp_path / "matrix.dat"))
+    mtx.write_mtx(ds.with_frames(cells=ds.cells.where("cell_id <> 59")), str(tmp_path / "folder"))
+    store.save(ds, str(tmp_path / "saved.h5"), {})
+    assert [store.sniff_content(spark, str(tmp_path / p)) for p in ("matrix.dat", "folder", "saved.h5")] == ["h5ad", "mtx", "folder"]
+    want = sorted(map(tuple, ds.x.where("cell_id <> 59").select("cell_id", "gene_id", "value").collect()))
+    for name in ("matrix.dat", "saved.h5"):
+        assert sorted(map(tuple, store.open_any(spark, str(tmp_path / name)).x.select("cell_id", "gene_id", "value").collect())) == want
+    with pytest.raises(FileNotFoundError):
+        store.sniff_content(spark, str(tmp_path / "none"))
+
+
 def test_tmm_and_filter():
     rng = np.random.default_rng(5)
     base = rng.poisson(50, (200, 1)) * np.array([[1, 2, 3, 1]])
