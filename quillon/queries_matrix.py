@@ -238,8 +238,7 @@ a AS (SELECT *, least(1e0, min(p * n / rn) OVER (PARTITION BY cluster ORDER BY r
 MARKERS = f"WITH {NORMAL} {STATS.format(x='xl')} {REST}"
 rest = lambda s, d: markers.against_rest(logged(s, d))
 query("d1_markers_against_rest", f"{MARKERS} SELECT gene_id, cluster, {r('t')} AS t, {r('lfc')} AS lfc, {r('pts')} AS pts, {r('p')} AS p, {r('padj')} AS padj, rank FROM a")(rest)
-query("d3_adjusted_p", f"{MARKERS} SELECT gene_id, cluster, {r('padj')} AS padj FROM a WHERE padj < 0.5")(lambda s, d: rest(s, d).where("padj < 0.5").select("gene_id", "cluster", "padj"))
-query("d3_adjusted_p_whole", f"{MARKERS} SELECT gene_id, cluster, {r('padj')} AS padj FROM a")(lambda s, d: rest(s, d).select("gene_id", "cluster", "padj"))
+query("d3_adjusted_p", f"{MARKERS} SELECT gene_id, cluster, {r('padj')} AS padj FROM a")(lambda s, d: rest(s, d).select("gene_id", "cluster", "padj"))
 query("d4_masked_markers", f"WITH {NORMAL}, genes2 AS (SELECT * FROM genes WHERE gene_id % 4 = 0) {STATS.format(x='xl').replace('FROM genes g', 'FROM genes2 g')} {REST} SELECT gene_id, cluster, {r('t')} AS t, {r('padj')} AS padj, rank FROM a")(
     lambda s, d: (lambda ds: markers.against_rest(ds, genes=ds.genes.where("gene_id % 4 = 0")).select("gene_id", "cluster", "t", "padj", "rank"))(logged(s, d))
 )
@@ -292,15 +291,14 @@ query("d9_score_cell_type", f"WITH {NORMAL}, mk AS (SELECT gene_name AS cell_typ
 )
 
 # C: annotation. Markers are made of the part table: brands are types, sizes evidence.
-MARK = "mk AS (SELECT DISTINCT p_type AS cell_type, p_brand AS gene, CASE WHEN (length(p_type) + CAST(right(p_brand, 1) AS INTEGER)) % 3 = 0 THEN -1 ELSE 1 END AS sign, 1e0 + CAST(right(p_brand, 1) AS INTEGER) AS evidence, 1e0 * CAST(split_part(p_brand, '#', 2) AS INTEGER) AS strength FROM part WHERE p_size <= 3)"
+MARK = "mk AS (SELECT DISTINCT p_type AS cell_type, p_brand AS gene, CASE WHEN (length(p_type) + CAST(right(p_brand, 1) AS INTEGER)) % 3 = 0 THEN -1 ELSE 1 END AS sign, 1e0 + CAST(right(p_brand, 1) AS INTEGER) AS evidence, 1e0 * CAST(split_part(p_brand, '#', 2) AS INTEGER) AS strength FROM part)"
 
 
-def marks(s, d, most: int | None = 3) -> DataFrame:
-    """Of parts up to a size, or of all."""
+def marks(s, d) -> DataFrame:
     last = F.substring("p_brand", -1, 1).cast("int")
     sign = F.when((F.length("p_type") + last) % 3 == 0, -1).otherwise(1)
     part = table(s, d, "part")
-    return (part if most is None else part.where(F.col("p_size") <= most)).select(F.col("p_type").alias("cell_type"), F.col("p_brand").alias("gene"), sign.alias("sign"), (1.0 + last).alias("evidence"), (1.0 * F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")).alias("strength")).distinct()
+    return part.select(F.col("p_type").alias("cell_type"), F.col("p_brand").alias("gene"), sign.alias("sign"), (1.0 + last).alias("evidence"), (1.0 * F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")).alias("strength")).distinct()
 
 
 WEIGHTS = MARK + """, rr AS (SELECT *, (SELECT count(DISTINCT cell_type) FROM mk) + 1 - count(*) OVER (PARTITION BY gene, sign) AS rare FROM mk),
@@ -312,7 +310,7 @@ query("c2_score_matrix", f"WITH {MATRIX} SELECT cell_type, gene, {r('w')} AS w F
 SCORED = OBN + ", " + MATRIX + f""", n AS (SELECT count(*)::DOUBLE AS n FROM cells), mo AS (SELECT gene_id, s / n AS mean, {VAR('s', 'q', 'n')} AS var FROM (SELECT gene_id, coalesce(sum(value), 0) AS s, coalesce(sum(value * value), 0) AS q FROM genes LEFT JOIN xl USING (gene_id) GROUP BY 1), n),
 gw AS (SELECT g.gene_id, cell_type, w / sqrt(var) AS w, mean * w / sqrt(var) AS off FROM mx JOIN genes g ON g.gene_name = mx.gene JOIN mo ON mo.gene_id = g.gene_id WHERE var > 1e-18), of AS (SELECT cell_type, sum(off) AS off FROM gw GROUP BY 1),
 sm AS (SELECT cell_id, cell_type, sum(value * w) AS s FROM xl JOIN gw USING (gene_id) GROUP BY 1, 2), sco AS (SELECT cell_id, of.cell_type, coalesce(s, 0) - off AS score FROM cells CROSS JOIN of LEFT JOIN sm USING (cell_id, cell_type))"""
-scores = lambda s, d, most=3: annotate.score_cells(ob_logged(s, d), annotate.score_matrix(annotate.weigh(marks(s, d, most), 12)))
+scores = lambda s, d: annotate.score_cells(ob_logged(s, d), annotate.score_matrix(annotate.weigh(marks(s, d), 12)))
 query("c3_cell_scores", f"WITH {SCORED} SELECT cell_id, cell_type, {r('score')} AS score FROM sco")(scores)
 query("c3_best_types", f"WITH {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 9) DESC, cell_type) AS rn FROM sco) SELECT cell_id, max(CASE WHEN rn = 1 THEN cell_type END) AS best, {r('max(CASE WHEN rn = 1 THEN score END)')} AS score, max(CASE WHEN rn = 2 THEN cell_type END) AS second FROM k WHERE rn <= 2 GROUP BY 1")(lambda s, d: annotate.best_types(scores(s, d)))
 query("c4_cluster_decisions", f"""WITH {SCORED}, pe AS (SELECT cluster, cell_type, avg(score) AS mean, avg(CASE WHEN score > 0 THEN 1e0 ELSE 0e0 END) AS support FROM sco JOIN cells USING (cell_id) WHERE cluster IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(mean, 9) DESC, cell_type) AS rn FROM pe)
@@ -332,8 +330,8 @@ query("c9_best_matches", f"""WITH {CP}, t AS (SELECT cluster AS la, sample AS lb
 query("j4_shared_cells", f"WITH {CP}, a AS (SELECT cell_name, cluster FROM cells WHERE cell_id % 2 = 0), b AS (SELECT cell_name, sample FROM cells WHERE cell_id % 3 = 0) SELECT cell_name, cluster, sample FROM a JOIN b USING (cell_name)")(
     lambda s, d: (lambda c: c.where("cell_id % 2 = 0").select("cell_name", "cluster").join(c.where("cell_id % 3 = 0").select("cell_name", "sample"), "cell_name"))(cust_part(s, d).cells)
 )
-query("j9_orthologs", f"WITH {MARK}, o AS (SELECT DISTINCT p_brand AS gene, 'o' || p_size AS other FROM part WHERE p_size <= 2 AND p_brand LIKE '%1') SELECT cell_type, coalesce(other, upper(mk.gene[1]) || lower(mk.gene[2:])) AS gene, sign::BIGINT AS sign FROM mk LEFT JOIN o ON mk.gene = o.gene")(
-    lambda s, d: annotate.to_species(marks(s, d), table(s, d, "part").where("p_size <= 2 and p_brand like '%1'").select(F.col("p_brand").alias("gene"), F.concat(F.lit("o"), F.col("p_size").cast("string")).alias("other")).distinct()).select("cell_type", "gene", "sign")
+query("j9_orthologs", f"WITH {MARK}, o AS (SELECT DISTINCT p_brand AS gene, 'o' || p_size AS other FROM part) SELECT cell_type, coalesce(other, upper(mk.gene[1]) || lower(mk.gene[2:])) AS gene, sign::BIGINT AS sign FROM mk LEFT JOIN o ON mk.gene = o.gene")(
+    lambda s, d: annotate.to_species(marks(s, d), table(s, d, "part").select(F.col("p_brand").alias("gene"), F.concat(F.lit("o"), F.col("p_size").cast("string")).alias("other")).distinct()).select("cell_type", "gene", "sign")
 )
 TREE = "tr AS (SELECT n_name AS term, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region)"
 tree = lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("term"), F.col("r_name").alias("parent")).union(table(s, d, "region").select("r_name", F.lit("WORLD")))
@@ -341,18 +339,6 @@ UP = f"RECURSIVE {TREE}, up AS (SELECT term, term AS ancestor, 0 AS steps FROM (
 query("j10_ancestors", f"WITH {UP} SELECT term, ancestor, steps::BIGINT AS steps FROM an")(lambda s, d: annotate.ancestors(tree(s, d)))
 query("j10_common_ancestors", f"WITH {UP}, k AS (SELECT a.term AS a, b.term AS b, a.ancestor, row_number() OVER (PARTITION BY a.term, b.term ORDER BY a.steps + b.steps, a.ancestor) AS rn FROM an a JOIN an b USING (ancestor)) SELECT a, b, ancestor FROM k WHERE rn = 1")(lambda s, d: annotate.common_ancestors(tree(s, d)))
 
-# The same over all parts and brands: the queries above, and their SQL, take the smallest parts only.
-whole = lambda name: ORACLES[name].replace(" WHERE p_size <= 3", "").replace(" WHERE p_size <= 2 AND p_brand LIKE '%1'", "")
-groups = lambda s, d: order_brand(s, d).cells.select("cell_id", "cluster")
-query("c1_marker_weights_whole", whole("c1_marker_weights"))(lambda s, d: annotate.weigh(marks(s, d, None), 12))
-query("c2_score_matrix_whole", whole("c2_score_matrix"))(lambda s, d: annotate.score_matrix(annotate.weigh(marks(s, d, None), 12)))
-query("c3_cell_scores_whole", whole("c3_cell_scores"))(lambda s, d: scores(s, d, None))
-query("c3_best_types_whole", whole("c3_best_types"))(lambda s, d: annotate.best_types(scores(s, d, None)))
-query("c4_cluster_decisions_whole", whole("c4_cluster_decisions"))(lambda s, d: annotate.decide(scores(s, d, None), groups(s, d)))
-query("c4_also_present_whole")(lambda s, d: (lambda sc, c: annotate.also_present(sc, c, annotate.decide(sc, c)))(scores(s, d, None), groups(s, d)))
-query("j9_orthologs_whole", whole("j9_orthologs"))(
-    lambda s, d: annotate.to_species(marks(s, d, None), table(s, d, "part").select(F.col("p_brand").alias("gene"), F.concat(F.lit("o"), F.col("p_size").cast("string")).alias("other")).distinct()).select("cell_type", "gene", "sign")
-)
 
 # X6: the tables behind plots
 Q = ", q AS (SELECT cell_id, cluster, sample, coalesce(sum(value), 0) AS n_counts, count(*) FILTER (WHERE value > 0) AS n_genes FROM cells LEFT JOIN x USING (cell_id) GROUP BY 1, 2, 3)"

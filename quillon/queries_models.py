@@ -52,12 +52,7 @@ query("r5_doublets")(lambda s, d: doublets.scrublet(cust_part(s, d), "cluster"))
 query("r6_integrate")(lambda s, d: integrate.integrate_datasets(normalize.normalize_total(cust_part(s, d)), "cluster", Steps(s, "integrate"), 100, 8).select("cell_id", F.element_at("v", 1).alias("v1")))
 query("r8_kmeans")(lambda s, d: decompose.kmeans_labels(vectors(s, d), 10))
 query("r9_diffusion_map")(lambda s, d: decompose.diffusion_map(fuzzy(s, d), 3)[0].select("cell_id", F.posexplode("v").alias("component", "value")))
-query("a10_distances_in_plan", f"WITH a AS (SELECT vec_id AS src, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20) SELECT x.src AS src, y.src AS dst, {r('list_distance(x.v, y.v)')} AS dist FROM a x JOIN a y ON x.src < y.src")(
-    lambda s, d: (lambda a: a.join(a.select(F.col("src").alias("dst"), F.col("v").alias("w")), F.col("src") < F.col("dst")).select("src", "dst", graph.distance("v", "w", "euclidean").alias("dist")))(vectors(s, d).where("cell_id < 20").select(F.col("cell_id").alias("src"), "v"))
-)
-
-
-@query("a10_distances_whole", f"WITH e AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS v, label::VARCHAR AS label FROM embeddings), m AS (SELECT label, j, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM e) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY j) AS w FROM m GROUP BY 1) SELECT cell_id, c.label AS label, {r('list_distance(v, w)')} AS dist FROM e CROSS JOIN c")
+@query("a10_distances_in_plan", f"WITH e AS (SELECT vec_id AS cell_id, embedding::DOUBLE[] AS v, label::VARCHAR AS label FROM embeddings), m AS (SELECT label, j, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM e) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY j) AS w FROM m GROUP BY 1) SELECT cell_id, c.label AS label, {r('list_distance(v, w)')} AS dist FROM e CROSS JOIN c")
 def centroid_distances(s, d):
     """Of every vector from the centroid of every label."""
     means = vectors(s, d).select("label", F.posexplode("v").alias("j", "x")).groupBy("label", "j").agg(F.avg("x").alias("x"))

@@ -470,9 +470,9 @@ def test_whole_queries_leave_nothing_out(spark, sf):
 
     table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     n, labels = table("embeddings").agg(F.count("*"), F.count_distinct("label")).first()
-    assert catalog.QUERIES["a10_distances_whole"](spark, sf).select("cell_id", "label").distinct().count() == n * labels
-    assert catalog.QUERIES["c1_marker_weights_whole"](spark, sf).select("cell_type").distinct().count() == table("part").select("p_type").distinct().count()
-    assert catalog.QUERIES["d3_adjusted_p_whole"](spark, sf).where("padj >= 0.5").count() > 0
+    assert catalog.QUERIES["a10_distances_in_plan"](spark, sf).select("cell_id", "label").distinct().count() == n * labels
+    assert catalog.QUERIES["c1_marker_weights"](spark, sf).select("cell_type").distinct().count() == table("part").select("p_type").distinct().count()
+    assert catalog.QUERIES["d3_adjusted_p"](spark, sf).where("padj >= 0.5").count() > 0
 
 
 def test_registered_queries_take_the_defaults(spark, sf, monkeypatch):
