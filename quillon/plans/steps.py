@@ -19,12 +19,10 @@ class Steps:
             spark.conf.set("spark.checkpoint.dir", at)
         self.spark, self.root, self.n = spark, f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(place)
-        files.deleteOnExit(place)  # results read their steps as long as the application lives
-
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(f"{self.root}/{self.n}")
+        if self.n == 1:  # results read their steps as long as the application lives
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")

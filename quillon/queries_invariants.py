@@ -53,7 +53,7 @@ SCALED = f"{GRID}, z AS (SELECT cell_id, gene_id, greatest(-3e0, least(3e0, (val
 query("r2_scaled_gene_variances", f"WITH {SCALED} SELECT gene_id, {r('sum(z * z) / (n - 1)', 5)} AS variance FROM z, n GROUP BY gene_id, n", 5)(lambda s, d: of_genes(decompose.pca(sb(s, d), 25, scale=True, max_value=3.0)))
 
 
-@query("x6_explained_variance_whole", f"WITH {GRID}, t AS (SELECT sum(var) AS t FROM mom) SELECT (SELECT count(*) FROM genes) AS components, {r('t', 5)} AS variance, 1e0 AS cumulative FROM t", 5)
+@query("x6_explained_variance_whole", f"WITH {GRID}, t AS (SELECT sum(var) AS t FROM mom) SELECT least((SELECT count(*) FROM genes), (SELECT count(*) FROM cells) - 1) AS components, {r('t', 5)} AS variance, 1e0 AS cumulative FROM t", 5)
 def explained(s, d):
     variance = decompose.pca(sb(s, d), 25)[2]
     return variance.agg(F.count("*").alias("components"), F.sum("variance").alias("variance"), F.sum("ratio").alias("cumulative"))
