@@ -35,7 +35,7 @@ CHAIN = 40
 BUCKETS = 1 << 16
 LONGEST = 4
 STEPS = 320
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 UND = "und"
 

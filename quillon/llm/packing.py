@@ -34,7 +34,7 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Pieces of one length are ranked in shares of about so many.
 RANKED = 65_536
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 
 LOWER = "a-zß-öø-ÿ"
 SIMPLE = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*").fullmatch
