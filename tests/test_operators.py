@@ -502,3 +502,29 @@ def test_plans_push_down_and_prune(spark, sf):
     plan = subset.keep_cells(ds, "cell_id < 10").x._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan
     assert "LessThan" in plan
+
+
+def test_diffusion_map_of_a_slowly_mixing_graph(spark):
+    n = 600
+    ring = [(i, (i + step) % n, 1.0) for i in range(n) for step in (1, -1)]
+    emb, values = decompose.diffusion_map(spark.createDataFrame(ring, "src long, dst long, w double"), 3)
+    assert np.allclose(values, np.cos(2 * np.pi * np.array([1, 1, 2]) / n), atol=1e-12)
+    v = np.array([r.v for r in emb.orderBy("cell_id").collect()])
+    assert np.allclose((np.roll(v, 1, axis=0) + np.roll(v, -1, axis=0)) / 2, v * values, atol=1e-7)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_of_blocks_with_copies_and_far_points(metric):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.repeat(rng.normal(size=(4, 5)), 9, axis=0), rng.normal(size=(60, 5)), 1e6 + rng.normal(size=(20, 5)), [[np.nan] * 5], [[1e200] * 5], [[0.0] * 5]])
+    ids = rng.permutation(len(v))
+    near = graph.Nearest(ids[:50], v[:50], 6, metric)
+    for at in np.array_split(np.arange(len(v)), 5):
+        near.meet(ids[at], v[at])
+    found = near.found().to_pandas()
+    for i in range(50):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - (v @ v[i]) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(v[i]), 1e-300)
+        ok = np.isfinite(d) & (ids != ids[i])
+        order = np.lexsort((ids[ok], np.round(d[ok], 9)))[:6]
+        mine = found[found.src == ids[i]]
+        assert mine.dst.tolist() == ids[ok][order].tolist() and np.allclose(mine.dist, d[ok][order], atol=1e-9)
