@@ -528,3 +528,13 @@ def test_nearest_of_blocks_with_copies_and_far_points(metric):
         order = np.lexsort((ids[ok], np.round(d[ok], 9)))[:6]
         mine = found[found.src == ids[i]]
         assert mine.dst.tolist() == ids[ok][order].tolist() and np.allclose(mine.dist, d[ok][order], atol=1e-9)
+
+
+def test_louvain_rounds_are_nearly_as_modular_as_leiden(spark):
+    v = np.random.default_rng(8).normal(size=(400, 6))  # without groups, where moves all at once go wrong most
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    pairs = {(int(min(i, j)), int(max(i, j))) for i in range(400) for j in np.argsort(d[i])[1:9]}
+    edges = spark.createDataFrame([(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))], "src long, dst long, w double").coalesce(1).cache()
+    steps = Steps(spark, "louvain")
+    quality = [graph.modularity(edges, steps.keep(cluster.communities(edges, spark.range(400).withColumnRenamed("id", "cell_id"), steps, one_task=at))).first().quality for at in (0, 1 << 20)]
+    assert quality[0] > 0.97 * quality[1]
