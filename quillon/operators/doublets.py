@@ -86,31 +86,98 @@ def valley(score: np.ndarray, bins: int = 256, rounds: int = 10_000) -> float:
     return float(np.quantile(score, 0.95))
 
 
-def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, components: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(scores of cells, scores of simulated doublets, threshold) for cells by genes counts. Doublets are simulated in the projected space."""
+class Sparse:
+    """Cells by genes as (row, column, value), and products with dense matrices, centred by ``shift`` and divided by ``scale`` of columns."""
+
+    STRIP = 1 << 16
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, shift: np.ndarray, scale: np.ndarray) -> None:
+        self.shape, self.shift, self.scale = (n, m), shift, scale
+        self.by_row, self.by_col = ((at := np.lexsort((b, a)), a[at], b[at], value[at])[1:] for a, b in ((row, col), (col, row)))
+
+    @classmethod
+    def times(cls, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, q: np.ndarray) -> np.ndarray:
+        """Sums by the first index, of value times row of q, some entries at a time."""
+        out, (to, of, value) = np.zeros((n, q.shape[1])), entries
+        for at in range(0, len(to), cls.STRIP):
+            mine = to[at : at + cls.STRIP]
+            first = np.flatnonzero(np.diff(mine, prepend=-1))
+            out[mine[first]] += np.add.reduceat(value[at : at + cls.STRIP, None] * q[of[at : at + cls.STRIP]], first, axis=0)
+        return out
+
+    def right(self, q: np.ndarray) -> np.ndarray:
+        q = q / self.scale[:, None]
+        return self.times(self.by_row, self.shape[0], q) - self.shift @ q
+
+    def left(self, y: np.ndarray) -> np.ndarray:
+        return (self.times(self.by_col, self.shape[1], y) - np.outer(self.shift, y.sum(axis=0))) / self.scale[:, None]
+
+    def dense(self) -> np.ndarray:
+        z = np.zeros(self.shape)
+        z[self.by_row[0], self.by_row[1]] = self.by_row[2]
+        return (z - self.shift) / self.scale
+
+
+def leading(z: Sparse, k: int, seed: int, small: int = 2048, most: int = 200, rounds: int = 50) -> np.ndarray:
+    """The k leading right singular vectors: from the smaller of the two products where that has at most ``small`` columns, else from Krylov spaces of at
+    most ``most`` vectors (fewer than ``small``), each of which begins where the one before ended, until no value changes by more than a millionth."""
+    n, m = z.shape
+    if min(n, m) <= small:
+        first = n < m
+        if n * m <= 1 << 25:
+            d = z.dense()
+            product = d @ d.T if first else d.T @ d
+        else:
+            unit = np.eye(min(n, m))
+            product = np.concatenate([z.right(z.left(unit[:, at : at + 32])) if first else z.left(z.right(unit[:, at : at + 32])) for at in range(0, len(unit), 32)], axis=1)
+        values, vectors = np.linalg.eigh((product + product.T) / 2)
+        lead = vectors[:, ::-1][:, :k]
+        return z.left(lead) / np.sqrt(np.maximum(values[::-1][:k], 1e-12)) if first else lead
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, k + 10)))[0]
+    before = np.zeros(k)
+    for _ in range(rounds):
+        basis, ys = [q], [z.right(q)]
+        while (len(basis) + 1) * q.shape[1] <= most:
+            y = z.left(ys[-1])
+            for _ in range(2):
+                for b in basis:
+                    y -= b @ (b.T @ y)
+                y = np.linalg.qr(y)[0]
+            basis.append(y)
+            ys.append(z.right(y))
+        small_ = np.block([[a.T @ b for b in ys] for a in ys])
+        values, turn = np.linalg.eigh((small_ + small_.T) / 2)
+        turn = turn[:, ::-1][:, : q.shape[1]]
+        q = np.linalg.qr(sum(b @ turn[i * q.shape[1] : (i + 1) * q.shape[1]] for i, b in enumerate(basis)))[0]
+        now = values[::-1][:k]
+        if np.abs(now - before).max() <= 1e-6 * now[0]:
+            break
+        before = now
+    return q[:, :k]
+
+
+def score_batch(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, ratio: float = 2.0, rate: float = 0.05, components: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(scores of cells, scores of simulated doublets, threshold) for the entries of n cells by m genes. Doublets are simulated in the projected space."""
     rng = np.random.default_rng(seed)
-    n = len(counts)
-    total = np.maximum(counts.sum(axis=1), 1e-12)
-    x = counts / total[:, None] * np.median(total)
-    mean, var = x.mean(axis=0), x.var(axis=0)
-    ok = (mean > 0) & (var > 0) & ((x >= 3).sum(axis=0) >= 3)
+    total = np.maximum(np.bincount(row, value, n), 1e-12)
+    x = value / total[row] * np.median(total)
+    stored = np.bincount(col, minlength=m)
+    mean = np.bincount(col, x, m) / n
+    var = (np.bincount(col, (x - mean[col]) ** 2, m) + (n - stored) * mean**2) / n
+    ok = (mean > 0) & (var > 0) & (np.bincount(col, x >= 3, m) >= 3)
     if ok.sum() >= 20:
         v = v_scores(mean[ok], var[ok])
         ok[np.flatnonzero(ok)[v < np.quantile(v, 0.85)]] = False
     else:
         ok = var > 0
-    m, s = x[:, ok].mean(axis=0), np.maximum(x[:, ok].std(axis=0), 1e-9)
-    z = (x[:, ok] - m) / s
-    k = min(components, *z.shape)
-    # The leading right singular vectors, from the smaller of the two products.
-    small, first = (z @ z.T, True) if z.shape[0] < z.shape[1] else (z.T @ z, False)
-    values, vectors = np.linalg.eigh(small)
-    lead = vectors[:, ::-1][:, :k]
-    turn = z.T @ lead / np.sqrt(np.maximum(values[::-1][:k], 1e-12)) if first else lead
+    place = np.cumsum(ok) - 1
+    of = ok[col]
+    z = Sparse(row[of], place[col[of]], x[of], n, int(ok.sum()), mean[ok], np.maximum(np.sqrt(var[ok]), 1e-9))
+    turn = leading(z, min(components, *z.shape), seed)
     a, b = rng.integers(0, n, int(ratio * n)), rng.integers(0, n, int(ratio * n))
     # The sum of two cells, normalized by the sum of their totals, is a weighted mean of the two.
     w = (total[a] / (total[a] + total[b]))[:, None]
-    real = z @ turn
+    real = z.right(turn)
     fake = w * real[a] + (1 - w) * real[b]
     r = len(fake) / n
     near = max(1, int(round(0.5 * np.sqrt(n) * (1 + r))))
@@ -118,12 +185,13 @@ def score_batch(counts: np.ndarray, ratio: float = 2.0, rate: float = 0.05, comp
     near = min(near, len(points) - 1)
     score = np.empty(len(points))
     norms = (points * points).sum(axis=1)
-    for at in range(0, len(points), 512):
-        d = norms[None] - 2 * points[at : at + 512] @ points.T
+    step = max(1, min(512, (1 << 22) // len(points)))  # 32 MB of distances at a time
+    for at in range(0, len(points), step):
+        d = norms[None] - 2 * points[at : at + step] @ points.T
         d[np.arange(d.shape[0]), np.arange(at, at + d.shape[0])] = np.inf
         found = is_fake[np.argpartition(d, near - 1, axis=1)[:, :near]].sum(axis=1)
         q = (found + 1) / (near + 2)
-        score[at : at + 512] = q * rate / r / np.maximum(1 - rate - q * (1 - rate - rate / r), 1e-12)
+        score[at : at + step] = q * rate / r / np.maximum(1 - rate - q * (1 - rate - rate / r), 1e-12)
     return score[:n], score[n:], valley(score[n:])
 
 
@@ -145,9 +213,8 @@ def scrublet(ds: Dataset, batch: str | None = None, ratio: float = 2.0, rate: fl
         if not sum(stored):
             return out
         genes, code = np.unique(np.concatenate([g for g in pdf.gene_id if g is not None]), return_inverse=True)
-        counts = np.zeros((len(pdf), len(genes)))
-        counts[np.repeat(np.arange(len(pdf)), stored), code] = np.concatenate([v for v in pdf.value if v is not None])
-        score, _, cut = score_batch(counts, ratio, rate, seed=seed)
+        value = np.concatenate([v for v in pdf.value if v is not None]).astype(float)
+        score, _, cut = score_batch(np.repeat(np.arange(len(pdf)), stored), code, value, len(pdf), len(genes), ratio, rate, seed=seed)
         out["score"], out["threshold"], out["doublet"] = score, cut, score > cut
         return out
 

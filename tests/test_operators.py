@@ -538,3 +538,28 @@ def test_louvain_rounds_are_nearly_as_modular_as_leiden(spark):
     steps = Steps(spark, "louvain")
     quality = [graph.modularity(edges, steps.keep(cluster.communities(edges, spark.range(400).withColumnRenamed("id", "cell_id"), steps, one_task=at))).first().quality for at in (0, 1 << 20)]
     assert quality[0] > 0.97 * quality[1]
+
+
+def test_doublets_of_many_genes_take_memory_by_entries():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, m, per = 400, 400_000, 200
+    row, col = np.repeat(np.arange(n), per), np.concatenate([np.sort(rng.choice(m // 100, per, replace=False)) for _ in range(n)]) * 100
+    tracemalloc.start()
+    score, fake, cut = doublets.score_batch(row, col, rng.integers(1, 9, len(row)).astype(float), n, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * m * 8 / 4 and len(score) == n and len(fake) == 2 * n and (score >= 0).all()
+
+
+@pytest.mark.parametrize("n, m, small", [(90, 300, 2048), (300, 90, 2048), (300, 260, 0)])
+def test_leading_vectors_of_entries_equal_dense_decomposition(n, m, small):
+    rng = np.random.default_rng(4)
+    x = rng.poisson(rng.gamma(0.5, 1, (n, 6)) @ rng.gamma(0.5, 1, (6, m))).astype(float)
+    row, col = np.nonzero(x)
+    shift, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    d = (x - shift) / scale
+    q = doublets.leading(doublets.Sparse(row, col, x[row, col], n, m, shift, scale), 4, 0, small=small)
+    _, s, v = np.linalg.svd(d, full_matrices=False)
+    assert np.allclose(np.linalg.norm(d @ q, axis=0), s[:4], rtol=1e-6) and np.allclose(np.abs((q * v[:4].T).sum(axis=0)), 1, atol=1e-4)
