@@ -563,3 +563,15 @@ def test_leading_vectors_of_entries_equal_dense_decomposition(n, m, small):
     q = doublets.leading(doublets.Sparse(row, col, x[row, col], n, m, shift, scale), 4, 0, small=small)
     _, s, v = np.linalg.svd(d, full_matrices=False)
     assert np.allclose(np.linalg.norm(d @ q, axis=0), s[:4], rtol=1e-6) and np.allclose(np.abs((q * v[:4].T).sum(axis=0)), 1, atol=1e-4)
+
+
+def test_components_of_many_genes_take_no_product_of_all_columns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(rng.gamma(0.3, 1, (50, 5)) @ rng.gamma(0.3, 0.3, (5, 5000))).astype(float)
+    monkeypatch.setattr(decompose, "gram_partials", None)
+    monkeypatch.setattr(decompose, "SLICE", 8 * 5000 * 6)  # thirteen columns in three slices
+    emb, load, var = decompose.pca(dataset(spark, x), 3, seed=1, rounds=12)  # more vectors than the matrix has rank
+    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+    assert np.allclose([r.variance for r in var.orderBy("component").collect()], s[:3] ** 2 / 49, rtol=1e-9)
+    v = np.array([r.loading for r in load.orderBy("gene_id").collect()])
+    assert v.shape == (5000, 3) and np.allclose(v.T @ v, np.eye(3), atol=1e-9)
