@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -68,7 +70,8 @@ class Scratch:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``limit`` bytes of text, one row at least, so that memory stays bounded."""
+    """Slices of at most about ``limit`` bytes of text, one row at least, so that memory stays bounded. After the last one, memory that
+    the worker doesn't use goes back to the system, as workers wait for more tasks beside those of other stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -80,6 +83,14 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += size + 64
         yield batch.slice(start)
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such function
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def thinned(df: DataFrame, by: list[str], wanted: int, total: int, key: Column | None = None) -> DataFrame:

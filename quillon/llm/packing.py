@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import byte_symbols
-from quillon.llm.common import Scratch, chunks, table
+from quillon.llm.common import Scratch, chunks, give_back, table
 
 WINDOW = 2048
 SEPARATOR = 1
@@ -94,6 +94,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int
                     for k, v in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], list(out))
+        words.memo.clear()  # waiting workers hold no pieces
+        give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -672,3 +672,13 @@ def test_components_of_long_chains_and_hubs(spark):
     chain, star = {int(n) for n in name[:151]}, {int(n) for n in name[200:390]}
     assert {found[n] for n in chain} == {min(chain)} and {found[n] for n in star} == {min(star)}
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
+
+
+def test_waiting_workers_hold_no_pieces(spark):
+    from quillon.llm import packing
+
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    held = docs.mapInPandas(lambda frames: (f.head(1).assign(n=sum(len(w.memo) for w in packing._TOKENIZERS.values()))[["n"]] for f in frames), "n long")
+    assert packing.pieces(docs, path).count() == 20 and packing.pieces(docs, path).agg({"length": "sum"}).first()[0] > 0
+    assert held.first().n == 0
