@@ -575,3 +575,34 @@ def test_components_of_many_genes_take_no_product_of_all_columns(spark, monkeypa
     assert np.allclose([r.variance for r in var.orderBy("component").collect()], s[:3] ** 2 / 49, rtol=1e-9)
     v = np.array([r.loading for r in load.orderBy("gene_id").collect()])
     assert v.shape == (5000, 3) and np.allclose(v.T @ v, np.eye(3), atol=1e-9)
+
+
+def test_copies_are_searched_and_divided_once(spark):
+    rng = np.random.default_rng(11)
+    v = np.concatenate([c + rng.normal(0, 1, (40, 5)) for c in rng.normal(0, 5, (3, 5))])
+    v = v[rng.permutation(np.concatenate([np.arange(120), np.full(150, 3), np.full(9, 50), np.full(14, 70)]))]
+    emb = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "cell_id long, v array<double>")
+    knn, fuzzy, labels = process.divide(emb, Steps(spark, "t"), 10)
+    exact = graph.exact_neighbors(emb, 10)
+    rows = lambda df: sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in df.collect())
+    assert rows(knn) == rows(exact)
+    edges = graph.symmetrize(graph.smooth_weights(exact, 10))
+    weight = lambda df: {(r.src, r.dst): round(r.w, 6) for r in df.collect()}
+    assert weight(fuzzy) == weight(edges)
+    plain = cluster.communities(edges, emb.select("cell_id"), Steps(spark, "t"))
+    quality = [graph.modularity(edges, x).first().quality for x in (labels, plain)]
+    assert labels.count() == len(v) and quality[0] >= quality[1] - 0.01
+    sizes = [r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_many_cells_of_few_scores_need_no_descent(spark, monkeypatch):
+    monkeypatch.setattr(graph, "descent", lambda *a, **k: pytest.fail("for 10,400 cells with few different scores"))
+    rng = np.random.default_rng(3)
+    entries = [(i, int(g), float(c)) for i in range(10_400) for g, c in ((100 + i % 2, 1), *(((rng.integers(20), rng.integers(1, 9)),) if i < 300 else ()))]
+    x = spark.createDataFrame(entries, "cell_id long, gene_id long, value double")
+    ds = Dataset(x, spark.range(10_401).withColumnRenamed("id", "cell_id"), spark.range(120).withColumnRenamed("id", "gene_id"))
+    out = process.process(ds, Steps(spark, "t"), n_top=20, floor=0, components=5)
+    assert out.cells.count() == 10_400 and out.cells.where("leiden is null").count() == 0
+    assert out.edges["knn"].count() == 10_400 * 14
+    assert out.x.columns == ["cell_id", "gene_id", "value"] and out.counts.agg(F.sum("value")).first()[0] == sum(c for *_, c in entries)
