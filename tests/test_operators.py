@@ -606,3 +606,14 @@ def test_many_cells_of_few_scores_need_no_descent(spark, monkeypatch):
     assert out.cells.count() == 10_400 and out.cells.where("leiden is null").count() == 0
     assert out.edges["knn"].count() == 10_400 * 14
     assert out.x.columns == ["cell_id", "gene_id", "value"] and out.counts.agg(F.sum("value")).first()[0] == sum(c for *_, c in entries)
+
+
+@pytest.mark.parametrize("copied", (0, 60))
+def test_descent_goes_on_until_enough_is_found(spark, copied):
+    v = np.random.default_rng(2).normal(size=(1500, 64))  # without structure, which few small trees find little of
+    v[:copied] = v[0]
+    emb = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(v)], "cell_id long, v array<double>")
+    found, exact = ({(r.src, r.dst) for r in df.collect()} for df in (graph.descent(emb, Steps(spark, "t"), 15, seeds=1, leaf=62, rounds=1), graph.exact_neighbors(emb, 15)))
+    assert len(found) == len(exact) == 1500 * 14 and len(found & exact) >= 0.95 * len(exact)
+    if copied:
+        assert {p for p in found if p[0] < copied} == {p for p in exact if p[0] < copied}
