@@ -6,10 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.frames import Dataset
+from quillon.operators import balls
+from quillon.plans.steps import Steps
+
+#: Points of a batch that one task compares with all of it.
+SHARE = 90_000
+#: Points in a row of a written batch.
+PIECE = 4096
 
 
 def running_quantile(x: np.ndarray, y: np.ndarray, q: float, bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,21 +97,25 @@ def valley(score: np.ndarray, bins: int = 256, rounds: int = 10_000) -> float:
 class Sparse:
     """Cells by genes as (row, column, value), and products with dense matrices, centred by ``shift`` and divided by ``scale`` of columns."""
 
-    STRIP = 1 << 16
-
     def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, shift: np.ndarray, scale: np.ndarray) -> None:
         self.shape, self.shift, self.scale = (n, m), shift, scale
-        self.by_row, self.by_col = ((at := np.lexsort((b, a)), a[at], b[at], value[at])[1:] for a, b in ((row, col), (col, row)))
-
-    @classmethod
-    def times(cls, entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, q: np.ndarray) -> np.ndarray:
-        """Sums by the first index, of value times row of q, some entries at a time."""
-        out, (to, of, value) = np.zeros((n, q.shape[1])), entries
-        for at in range(0, len(to), cls.STRIP):
-            mine = to[at : at + cls.STRIP]
-            first = np.flatnonzero(np.diff(mine, prepend=-1))
-            out[mine[first]] += np.add.reduceat(value[at : at + cls.STRIP, None] * q[of[at : at + cls.STRIP]], first, axis=0)
-        return out
+        self.by_row, self.by_col = (self.sorted_by(a, b, value) for a, b in ((row, col), (col, row)))
+
+    @staticmethod
+    def sorted_by(to: np.ndarray, of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(the indices that have entries, where their entries begin, the other index, value)"""
+        order = np.lexsort((of, to))
+        first = np.flatnonzero(np.diff(to[order], prepend=-1))
+        return to[order][first], first, of[order], value[order]
+
+    @staticmethod
+    def times(entries: tuple[np.ndarray, ...], n: int, q: np.ndarray) -> np.ndarray:
+        """Sums by the first index, of value times row of q, a column at a time."""
+        to, first, of, value = entries
+        out = np.zeros((q.shape[1], n))
+        for j in range(q.shape[1] if len(first) else 0):
+            out[j, to] = np.add.reduceat(value * np.ascontiguousarray(q[:, j])[of], first)
+        return np.ascontiguousarray(out.T)
 
     def right(self, q: np.ndarray) -> np.ndarray:
         q = q / self.scale[:, None]
@@ -114,7 +126,8 @@ class Sparse:
 
     def dense(self) -> np.ndarray:
         z = np.zeros(self.shape)
-        z[self.by_row[0], self.by_row[1]] = self.by_row[2]
+        to, first, of, value = self.by_row
+        z[np.repeat(to, np.diff(np.append(first, len(of)))), of] = value
         return (z - self.shift) / self.scale
 
 
@@ -136,17 +149,26 @@ def leading(z: Sparse, k: int, seed: int, small: int = 2048, most: int = 200, ro
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, k + 10)))[0]
     before = np.zeros(k)
     for _ in range(rounds):
-        basis, ys = [q], [z.right(q)]
-        while (len(basis) + 1) * q.shape[1] <= most:
-            y = z.left(ys[-1])
-            for _ in range(2):
-                for b in basis:
-                    y -= b @ (b.T @ y)
-                y = np.linalg.qr(y)[0]
+        basis, width = [q], q.shape[1]
+        small_ = np.zeros((most // width * width,) * 2)  # products of the basis with itself, the upper half
+        while (len(basis) + 1) * width <= most:
+            y = z.left(z.right(basis[-1]))
+            for again in range(2):
+                for i, b in enumerate(basis):
+                    part = b.T @ y
+                    if not again:
+                        small_[i * width : (i + 1) * width, (len(basis) - 1) * width : len(basis) * width] = part
+                    y -= b @ part
+                y, rest = np.linalg.qr(y)
+                if not again:
+                    below = rest
+            small_[(len(basis) - 1) * width : len(basis) * width, len(basis) * width : (len(basis) + 1) * width] = (rest @ below).T
             basis.append(y)
-            ys.append(z.right(y))
-        small_ = np.block([[a.T @ b for b in ys] for a in ys])
-        values, turn = np.linalg.eigh((small_ + small_.T) / 2)
+        last = z.right(basis[-1])
+        small_[(len(basis) - 1) * width : len(basis) * width, (len(basis) - 1) * width : len(basis) * width] = last.T @ last
+        del last
+        small_ = np.triu(small_[: len(basis) * width, : len(basis) * width])
+        values, turn = np.linalg.eigh(small_ + np.triu(small_, 1).T)
         turn = turn[:, ::-1][:, : q.shape[1]]
         q = np.linalg.qr(sum(b @ turn[i * q.shape[1] : (i + 1) * q.shape[1]] for i, b in enumerate(basis)))[0]
         now = values[::-1][:k]
@@ -156,8 +178,8 @@ def leading(z: Sparse, k: int, seed: int, small: int = 2048, most: int = 200, ro
     return q[:, :k]
 
 
-def score_batch(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, ratio: float = 2.0, rate: float = 0.05, components: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(scores of cells, scores of simulated doublets, threshold) for the entries of n cells by m genes. Doublets are simulated in the projected space."""
+def simulated(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, ratio: float = 2.0, components: int = 30, seed: int = 0) -> np.ndarray:
+    """Projections, in single precision, of the n cells and, after them, of the simulated doublets, for the entries of n cells by m genes. Doublets are simulated in the projected space."""
     rng = np.random.default_rng(seed)
     total = np.maximum(np.bincount(row, value, n), 1e-12)
     x = value / total[row] * np.median(total)
@@ -179,43 +201,95 @@ def score_batch(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m:
     w = (total[a] / (total[a] + total[b]))[:, None]
     real = z.right(turn)
     fake = w * real[a] + (1 - w) * real[b]
-    r = len(fake) / n
-    near = max(1, int(round(0.5 * np.sqrt(n) * (1 + r))))
-    points, is_fake = np.concatenate([real, fake]), np.concatenate([np.zeros(n, bool), np.ones(len(fake), bool)])
-    near = min(near, len(points) - 1)
-    score = np.empty(len(points))
-    norms = (points * points).sum(axis=1)
-    step = max(1, min(512, (1 << 22) // len(points)))  # 32 MB of distances at a time
-    for at in range(0, len(points), step):
-        d = norms[None] - 2 * points[at : at + step] @ points.T
-        d[np.arange(d.shape[0]), np.arange(at, at + d.shape[0])] = np.inf
-        found = is_fake[np.argpartition(d, near - 1, axis=1)[:, :near]].sum(axis=1)
-        q = (found + 1) / (near + 2)
-        score[at : at + step] = q * rate / r / np.maximum(1 - rate - q * (1 - rate - rate / r), 1e-12)
+    return np.concatenate([real, fake]).astype(np.float32)
+
+
+def nearest_of(n: int, points: int) -> int:
+    """How many neighbours a point has, of n cells and the doublets simulated from them."""
+    return min(max(1, int(round(0.5 * np.sqrt(n) * points / n))), points - 1)
+
+
+def likelihood(found: np.ndarray, near: int, r: float, rate: float) -> np.ndarray:
+    """The scores of points with so many simulated ones among ``near`` neighbours, of r simulated ones a cell."""
+    q = (found + 1) / (near + 2)
+    return q * rate / r / np.maximum(1 - rate - q * (1 - rate - rate / r), 1e-12)
+
+
+def score_batch(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, ratio: float = 2.0, rate: float = 0.05, components: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(scores of cells, scores of simulated doublets, threshold) for the entries of n cells by m genes."""
+    points = simulated(row, col, value, n, m, ratio, components, seed)
+    near = nearest_of(n, len(points))
+    found = np.empty(len(points))
+    at, counts = balls.marked_near(points, np.arange(len(points)) >= n, balls.leaves(points), near)
+    found[at] = counts
+    score = likelihood(found, near, (len(points) - n) / n, rate)
     return score[:n], score[n:], valley(score[n:])
 
 
+def entries_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, column, value, columns) of cells with their lists of genes and values."""
+    gene, value = t.column("gene_id").combine_chunks(), t.column("value").combine_chunks()
+    stored = np.diff(gene.offsets.to_numpy())
+    genes, col = np.unique(gene.flatten().to_numpy(), return_inverse=True)
+    return np.repeat(np.arange(t.num_rows, dtype=np.int32), stored), col.astype(np.int32), value.flatten().to_numpy().astype(float), len(genes)
+
+
 def scrublet(ds: Dataset, batch: str | None = None, ratio: float = 2.0, rate: float = 0.05, seed: int = 0, least: int = 10) -> DataFrame:
-    """(cell_id, batch, score, threshold, doublet): a batch is one capture, one task's input; batches of fewer than ``least`` cells get no score.
-    Counts must be whole numbers, since sums of normalized values are no doublets."""
-    if not ds.counts.where("value <> floor(value)").isEmpty():
-        raise ValueError("doublets are simulated from raw counts, and these aren't whole numbers; normalize afterwards")
+    """(cell_id, batch, score, threshold, doublet): a batch is one capture; batches of fewer than ``least`` cells get no score.
+    Counts must be whole numbers, since sums of normalized values are no doublets.
+
+    One task projects a batch; its points are then compared in parts of about SHARE, each a task's input with the whole batch."""
+    steps = Steps(ds.x.sparkSession, "doublets")
     labels = ds.cells.select("cell_id", (F.col(batch).cast("string") if batch else F.lit("all")).alias("batch"))
-    entries = ds.counts.groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("e")).select("cell_id", "e.gene_id", "e.value")
-    rows = labels.join(entries, "cell_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id")
-        out = pd.DataFrame({"cell_id": pdf.cell_id, "batch": pdf.batch, "score": None, "threshold": None, "doublet": None})
-        if len(pdf) < least:
-            return out
-        stored = [len(own) if own is not None else 0 for own in pdf.gene_id]
-        if not sum(stored):
-            return out
-        genes, code = np.unique(np.concatenate([g for g in pdf.gene_id if g is not None]), return_inverse=True)
-        value = np.concatenate([v for v in pdf.value if v is not None]).astype(float)
-        score, _, cut = score_batch(np.repeat(np.arange(len(pdf)), stored), code, value, len(pdf), len(genes), ratio, rate, seed=seed)
-        out["score"], out["threshold"], out["doublet"] = score, cut, score > cut
-        return out
-
-    return rows.groupBy("batch").applyInPandas(run, "cell_id long, batch string, score double, threshold double, doublet boolean")
+    entries = ds.counts.groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("e"))
+    entries = entries.select("cell_id", F.col("e.gene_id").cast("array<long>").alias("gene_id"), F.col("e.value").cast("array<double>").alias("value"))
+    none = F.array().cast
+    rows = labels.join(entries, "cell_id", "left").select("cell_id", "batch", F.coalesce("gene_id", none("array<long>")).alias("gene_id"), F.coalesce("value", none("array<double>")).alias("value"))
+    rows = steps.keep(rows.withColumn("batch", F.coalesce(F.concat(F.lit("b"), "batch"), F.lit("-"))))  # missing names are one batch
+    if not rows.where(F.exists("value", lambda v: v != F.floor(v))).isEmpty():
+        raise ValueError("doublets are simulated from raw counts, and these aren't whole numbers; normalize afterwards")
+
+    def project(key: tuple, t: pa.Table) -> pa.Table:
+        names = ["batch", "cells", "parts", "cell_id", "leaf", "points"]
+        made: list[tuple] = []
+        n = t.num_rows
+        if n >= least:
+            t = t.sort_by("cell_id")
+            ids = t.column("cell_id").to_numpy()
+            row, col, value, m = entries_of(t)
+            del t
+            if len(row):
+                points = simulated(row, col, value, n, m, ratio, seed=seed)
+                del row, col, value
+                leaf = balls.leaves(points)
+                ids = np.concatenate([ids, np.full(len(points) - n, -1)])
+                for at in range(0, len(points), PIECE):
+                    of = slice(at, at + PIECE)
+                    made.append((key[0].as_py(), n, -(-len(points) // SHARE), np.stack([ids[of], np.arange(len(points))[of]]).tobytes(), leaf[of].tobytes(), points[of].tobytes()))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], names)
+
+    def score(key: tuple, t: pa.Table) -> pa.Table:
+        n, part, parts = t.column("cells")[0].as_py(), key[1].as_py(), t.column("parts")[0].as_py()
+        pieces = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in t.column("cell_id")]
+        count = sum(p.shape[1] for p in pieces)
+        ids, leaf, points = np.empty(count, np.int64), np.empty(count, np.int32), None
+        for (own, place), l, p in zip(pieces, t.column("leaf"), t.column("points")):
+            p = np.frombuffer(p.as_py(), np.float32).reshape(len(own), -1)
+            points = np.empty((count, p.shape[1]), np.float32) if points is None else points
+            ids[place], leaf[place], points[place] = own, np.frombuffer(l.as_py(), np.int32), p
+        del t, pieces
+        near = nearest_of(n, count)
+        at, found = balls.marked_near(points, np.arange(count) >= n, leaf, near, part, parts)
+        return pa.table([pa.array([key[0].as_py()] * len(at), pa.string()), pa.array(ids[at]), pa.array(at >= n), pa.array(likelihood(found, near, (count - n) / n, rate))], ["batch", "cell_id", "simulated", "score"])
+
+    def cut(key: tuple, t: pa.Table) -> pa.Table:
+        scores = np.sort(t.column("score").to_numpy())
+        return pa.table([pa.array([key[0].as_py()]), pa.array([valley(scores)])], ["batch", "threshold"])
+
+    points = steps.keep(rows.groupBy("batch").applyInArrow(project, "batch string, cells long, parts int, cell_id binary, leaf binary, points binary"))
+    tasks = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    scored = steps.keep(tasks.groupBy("batch", "part").applyInArrow(score, "batch string, cell_id long, simulated boolean, score double"))
+    cuts = scored.where("simulated").select("batch", "score").groupBy("batch").applyInArrow(cut, "batch string, threshold double")
+    out = rows.select("cell_id", "batch").join(scored.where("not simulated").select("cell_id", "score"), "cell_id", "left").join(cuts, "batch", "left")
+    return out.select("cell_id", F.when(F.col("batch") != "-", F.expr("substring(batch, 2)")).alias("batch"), "score", "threshold", (F.col("score") > F.col("threshold")).alias("doublet"))

@@ -617,3 +617,32 @@ def test_descent_goes_on_until_enough_is_found(spark, copied):
     assert len(found) == len(exact) == 1500 * 14 and len(found & exact) >= 0.95 * len(exact)
     if copied:
         assert {p for p in found if p[0] < copied} == {p for p in exact if p[0] < copied}
+
+
+@pytest.mark.parametrize("k", (1, 40, 1099))
+def test_marked_ones_near_equal_those_of_all_distances(k):
+    from quillon.operators import balls
+
+    rng = np.random.default_rng(8)
+    p = np.concatenate([np.repeat(rng.normal(size=(2, 4)), 150, axis=0), rng.standard_cauchy(size=(400, 4)), rng.normal(size=(400, 4)) + 50]).astype(np.float32)
+    marked, found = rng.random(len(p)) < 0.6, np.full(len(p), -1.0)
+    leaf = balls.leaves(p)
+    for part in range(3):
+        at, counts = balls.marked_near(p, marked, leaf, k, part, 3)
+        found[at] = counts
+    d = ((p[:, None].astype(float) - p[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, axis=1)[:, k - 1 : k]
+    nearer, tied = d < kth * (1 - 1e-10), np.abs(d - kth) <= 1e-10 * kth
+    assert np.allclose(found, (nearer & marked).sum(axis=1) + (k - nearer.sum(axis=1)) * (tied & marked).sum(axis=1) / tied.sum(axis=1))
+
+
+def test_batches_in_parts_have_the_scores_of_one_task(spark, monkeypatch):
+    x = np.random.default_rng(5).poisson(2.0, (120, 60)).astype(float)
+    monkeypatch.setattr(doublets, "SHARE", 50)  # eight tasks for 360 points
+    monkeypatch.setattr(doublets, "PIECE", 37)
+    found = doublets.scrublet(dataset(spark, x)).orderBy("cell_id").collect()
+    row, col = np.nonzero(x)
+    score, _, cut = doublets.score_batch(row, col, x[row, col], 120, 60)
+    assert np.allclose([r.score for r in found], score) and {r.batch for r in found} == {"all"}
+    assert np.allclose([r.threshold for r in found], cut) and [r.doublet for r in found] == [r.score > r.threshold for r in found]
